@@ -29,7 +29,7 @@ def scratch_path(spark: SparkSession) -> str:
 def table(df: DataFrame) -> DataFrame:
     """The same rows, written once and read from the shared folder."""
     path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
