@@ -29,7 +29,7 @@ from clinispan.llm.scratch import scratch_path, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A package is closed at this size and the task goes on with another; a range read takes about this much at most.
-PACKAGE_BYTES, RANGE_BYTES = 1 << 30, 4 << 20
+PACKAGE_BYTES, RANGE_BYTES = 256 << 20, 1 << 20
 
 
 class ArchiveError(ValueError):
@@ -215,7 +215,7 @@ def write_packages(pages: DataFrame, folder: str, key: str = "page_id", url: str
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packages (path) to ranges of whole records: path, start, length, n."""
+    """Packages (path) to ranges of whole records: path, start, length, and the records' lengths."""
     for batch in batches:
         for path in batch.column(0).to_pylist():
             where, at = open_path(path)
@@ -224,32 +224,31 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 index, data = members[INDEX], members[DATA]
                 begin = data_offset(f, index)
                 f.seek(begin)
-                entries = sorted((e["offset"], e["length"]) for e in map(json.loads, f.read(index.size).decode().splitlines()))
+                entries = sorted((e["offset"], e["length"]) for e in map(json.loads, f.read(index.size).splitlines()))
                 begin = data_offset(f, data)
             rows: list[list] = []
             for offset, length in entries:
                 if rows and rows[-1][1] + rows[-1][2] == begin + offset and rows[-1][2] + length <= RANGE_BYTES:
                     rows[-1][2] += length
-                    rows[-1][3] += 1
+                    rows[-1][3].append(length)
                 else:
-                    rows.append([path, begin + offset, length, 1])
-            yield pa.RecordBatch.from_pylist([dict(zip(("path", "start", "length", "n"), r, strict=True)) for r in rows], pa.schema([("path", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("n", pa.int64())]))
+                    rows.append([path, begin + offset, length, [length]])
+            yield pa.RecordBatch.from_pylist([dict(zip(("path", "start", "length", "records"), r, strict=True)) for r in rows], pa.schema([("path", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("records", pa.list_(pa.int64()))]))
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges to records: key, type, payload, digest, refers_to."""
     schema = pa.schema([("key", pa.int64()), ("type", pa.string()), ("url", pa.string()), ("payload", pa.large_binary()), ("digest", pa.string()), ("refers_to", pa.int64())])
     for batch in batches:
-        for path, start, length, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for path, start, length, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             where, at = open_path(path)
             with where.open_input_file(at) as f:
                 f.seek(start)
-                raw = f.read(length)
-            rows = []
-            for _ in range(n):
-                tool = zlib.decompressobj(31)
-                headers, block = parse_record(tool.decompress(raw))
-                raw = tool.unused_data
+                raw = memoryview(f.read(length))
+            rows, to = [], 0
+            for n in records:
+                headers, block = parse_record(zlib.decompress(raw[to : to + n], 31))
+                to += n
                 payload = block.partition(b"\r\n\r\n")[2]
                 digest = headers["warc-payload-digest"].removeprefix("sha1:")
                 if headers["warc-type"] == "response" and base32_sha1(payload) != digest:
@@ -266,7 +265,7 @@ def read_packages(packages: DataFrame) -> DataFrame:
     The payload of a revisit is empty, as it was stored. No package has no records.
     """
     spark = packages.sparkSession
-    ranges = table(packages.repartition("path").mapInArrow(_index, "path string, start long, length long, n long"))
+    ranges = table(packages.repartition("path").mapInArrow(_index, "path string, start long, length long, records array<long>"))
     wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return ranges.repartition(wide, "path", "start").mapInArrow(_records, "key long, type string, url string, payload binary, digest string, refers_to long")
 
