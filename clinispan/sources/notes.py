@@ -60,7 +60,7 @@ NOTE: tuple[str | Pick, ...] = (
     " ",
     Pick([*_BACKWARD, "is stable"], 1, 7, 2),
     Pick([".", ", however improved.", "?"], 2, 3),
-    Pick(["\nPAST MEDICAL HISTORY: ", "\nPMH: ", "\nMedical history : ", "\n  PSH: "], 1, 6),
+    Pick(["\nPAST MEDICAL HISTORY: ", "\nPMH: ", "\nMedical history : ", "\nPSH: "], 1, 6),
     _finding(11, 8),
     Pick([".", ", ", "; "], 1, 2, 1),
     Pick(["Carries a diagnosis of ", "denies ", "status post "], 1, 5),
