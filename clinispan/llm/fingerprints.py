@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from clinispan.llm.scratch import table
 
 #: Cells of a fingerprint and of the largest sketch; rounds of peeling; digests dealt to each of a pair's larger sketches, about.
-CELLS, LARGE, ROUNDS, LOAD = 24, 96, 12, 8
+CELLS, LARGE, ROUNDS, LOAD = 24, 96, 12, 12
 #: A line over this many characters is cut at the ends of its sentences.
 LONG_LINE = 400
 #: Ranges of doc_id in which a document's predecessor is looked up.
 RANGES = 1024
+#: Stands for a null doc_id, and is read as one.
+NULL_ID = -(1 << 63)
 _CELL = "struct<n:int,k:bigint,c:bigint>"
 
 
@@ -27,17 +29,21 @@ def paragraph_digests(text: str) -> Column:
     return F.expr(f"array_distinct(transform(filter(flatten(transform(split({text}, '\\n+'), l -> if(length(l) > {LONG_LINE}, split(l, '(?<=[.!?])[ ]+'), array(l)))), p -> trim(p) <> ''), p -> xxhash64(trim(p))))")
 
 
-def _place(d: str, part: str, cells: int) -> str:
-    """The cell, within a part, that digest d falls into."""
-    bits = {CELLS: 3, LARGE: 5}[cells]
-    return f"(shiftrightunsigned({d}, {bits} * ({part}) + {8 if cells == CELLS else 30}) & {cells // 3 - 1})"
+def _inside(d: str, cell: int, cells: int) -> str:
+    """Whether digest d falls into this cell: of each third of the cells, that which some bits of d name."""
+    bits, part = {CELLS: 3, LARGE: 5}[cells], cells // 3
+    return f"shiftrightunsigned({d}, {bits * (cell // part) + (8 if cells == CELLS else 30)}) & {part - 1}L = {cell % part}L"
+
+
+def _add(cell: str, digests: str, at: int, cells: int, sign: int) -> str:
+    """The cell with those of digests that fall into it added (or subtracted)."""
+    return f"aggregate(filter({digests}, d -> {_inside('d', at, cells)}), {cell}, (s, d) -> named_struct('n', s.n + {sign}, 'k', s.k ^ d, 'c', s.c ^ (xxhash64(d) & 4294967295L)))"
 
 
 def sketch(digests: str, cells: int = CELLS) -> str:
     """SQL for the cells of an array of distinct digests."""
-    part = cells // 3
-    inside = f"{_place('d', f'j div {part}', cells)} = j % {part}"
-    return f"transform(sequence(0, {cells - 1}), j -> aggregate({digests}, cast(named_struct('n', 0, 'k', 0L, 'c', 0L) as {_CELL}), (s, d) -> if({inside}, named_struct('n', s.n + 1, 'k', s.k ^ d, 'c', s.c ^ (xxhash64(d) & 4294967295L)), s)))"
+    empty = f"cast(named_struct('n', 0, 'k', 0L, 'c', 0L) as {_CELL})"
+    return f"array({', '.join(_add(empty, digests, j, cells, 1) for j in range(cells))})"
 
 
 def difference(x: str, y: str) -> str:
@@ -45,20 +51,15 @@ def difference(x: str, y: str) -> str:
 
 
 def peeled(cells_sql: str, cells: int = CELLS) -> str:
-    """SQL for struct<left array, more long, fewer long>: what peeling leaves, and how many digests it finds on the first side and on the second."""
-    part = cells // 3
-
-    def without(state: str, keys: str, sign: int) -> str:
-        inside = f"{_place('d', f'j div {part}', cells)} = j % {part}"
-        return f"transform({state}, (cell, j) -> aggregate({keys}, cell, (s, d) -> if({inside}, named_struct('n', s.n - ({sign}), 'k', s.k ^ d, 'c', s.c ^ (xxhash64(d) & 4294967295L)), s)))"
+    """SQL for struct<cells, more, fewer, open>: the cells that peeling leaves, how many digests it finds on the first side alone and on the second, and whether it could go on."""
 
-    def pure(state: str, sign: int) -> str:
-        return f"array_distinct(transform(filter({state}, q -> q.n = {sign} and q.c = (xxhash64(q.k) & 4294967295L)), q -> q.k))"
+    def pure(sign: int) -> str:
+        return f"array_distinct(transform(filter(t.cells, q -> q.n = {sign} and q.c = (xxhash64(q.k) & 4294967295L)), q -> q.k))"
 
-    found = f"transform(array(named_struct('cells', t.cells, 'more', t.more, 'fewer', t.fewer, 'p', {pure('t.cells', 1)}, 'm', {pure('t.cells', -1)}))"
-    step = f"element_at({found}, z -> if(size(z.p) + size(z.m) = 0, named_struct('cells', z.cells, 'more', z.more, 'fewer', z.fewer), named_struct('cells', {without(without('z.cells', 'z.p', 1), 'z.m', -1)}, 'more', z.more + size(z.p), 'fewer', z.fewer + size(z.m)))), 1)"
-    start = f"named_struct('cells', cast({cells_sql} as array<{_CELL}>), 'more', 0L, 'fewer', 0L)"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (t, r) -> {step})"
+    rest = ", ".join(_add(_add(f"z.cells[{j}]", "z.p", j, cells, -1), "z.m", j, cells, 1) for j in range(cells))
+    found = f"transform(array(named_struct('cells', t.cells, 'p', {pure(1)}, 'm', {pure(-1)})), z -> if(size(z.p) + size(z.m) = 0, named_struct('cells', z.cells, 'more', t.more, 'fewer', t.fewer, 'open', false), named_struct('cells', array({rest}), 'more', t.more + size(z.p), 'fewer', t.fewer + size(z.m), 'open', true)))"
+    start = f"named_struct('cells', cast({cells_sql} as array<{_CELL}>), 'more', 0L, 'fewer', 0L, 'open', true)"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (t, r) -> if(t.open, element_at({found}, 1), t))"
 
 
 def _clean(state: str) -> str:
@@ -116,17 +117,20 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     ascending order of doc_id, null first, then of a hash of the text; after the last comes the first. A null text is empty. Rows equal in
     doc_id and text are one document with as many result rows. A single document is its own next one. Texts without paragraphs have equal, empty fingerprints.
     """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("o"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumns({"th": F.xxhash64("text"), "n": F.length("text").cast("long")})
-    linked = base.join(_predecessors(base), ["o", "th"])
-    heads = linked.select(F.col("po").alias("o"), F.col("pth").alias("th"), F.expr("substring(text, 1, cast(pn div 4 as int))").alias("head"), paragraph_digests("text").alias("next_units")).dropDuplicates(["o", "th"])
-    both = base.join(heads, ["o", "th"])
+    texts = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("o"), F.xxhash64(texts).alias("th"), texts.alias("text"))
+    # Both joins need the same three columns of base, so that its texts are shuffled once.
+    linked = base.join(_predecessors(base.withColumn("n", F.length("text").cast("long"))), ["o", "th"]).withColumn("rn", F.expr("row_number() over (partition by o, th order by o)")).where("rn = 1")
+    heads = linked.select(F.col("po").alias("o"), F.col("pth").alias("th"), F.expr("substring(text, 1, cast(pn div 4 as int))").alias("head"), paragraph_digests("text").alias("next_units"))
+    # Rows equal in doc_id and text are numbered where the join has put them, without another shuffle.
+    both = base.join(heads, ["o", "th"]).withColumn("rn", F.expr("row_number() over (partition by o, th order by o)"))
+    both = both.withColumn("n", F.length("text").cast("long")).withColumn("doc_id", F.nullif("o", F.lit(NULL_ID)))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n - n div 4 as int)), head)"))
-    rows = both.select("o", "th", "doc_id", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), paragraph_digests("text").alias("units"), paragraph_digests("edited").alias("edited_units"), "next_units")
+    rows = both.select("o", "th", "rn", "doc_id", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), paragraph_digests("text").alias("units"), paragraph_digests("edited").alias("edited_units"), "next_units")
     rows = table(rows)
-    one = rows.dropDuplicates(["o", "th"])
+    one = rows.where("rn = 1")
     sides = one.select("o", "th", F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("edited_units").alias("y")), F.struct(F.lit(1).alias("w"), F.col("next_units").alias("y")))).alias("s"), F.col("units").alias("x")).select("o", "th", "s.w", "x", "s.y")
     near = sketch_likeness(sides, ["o", "th", "w"])
     near = near.groupBy("o", "th").agg(F.max(F.when(F.col("w") == 0, F.col("likeness"))).alias("near_edited"), F.max(F.when(F.col("w") == 1, F.col("likeness"))).alias("near_next"))
-    prints = rows.withColumns({"a": F.expr(sketch("units")), "b": F.expr(sketch("edited_units"))}).select("o", "th", "doc_id", "n_chars", "edited_sha256", fingerprint("a").alias("fingerprint"), fingerprint("b").alias("edited_fingerprint"))
-    return prints.join(near, ["o", "th"]).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    prints = rows.select("o", "th", "doc_id", "n_chars", "edited_sha256", "units", "edited_units").join(near, ["o", "th"]).withColumns({"a": F.expr(sketch("units")), "b": F.expr(sketch("edited_units"))})
+    return prints.select("doc_id", "n_chars", "edited_sha256", fingerprint("a").alias("fingerprint"), fingerprint("b").alias("edited_fingerprint"), "near_edited", "near_next")
