@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Centroids and codebooks are fitted on a bounded sample in the driver; every vector is then assigned and encoded in tasks. A
-query probes the cells whose centroids are nearest; in each block of a cell, asymmetric distance tables rank the codes, and
-the best are ranked again by exact distance. Cells and their queries are dealt out in blocks, so a crowded cell is no hot group.
+query probes the cells whose centroids are nearest, as many as the true neighbours of some queries, found by brute force, turn
+out to need; in each block of a cell, asymmetric distance tables rank the codes, and the best
+are ranked again by exact distance. Cells and their queries are dealt out in blocks, so a crowded cell is no hot group.
 """
 
 from __future__ import annotations
@@ -23,13 +24,17 @@ _ROW = "vec_id long, cell int, code binary, vector array<double>"
 @dataclass(frozen=True)
 class Settings:
     """sample: vectors to fit on, at most; lists: coarse centroids, at most (the square root of the rows, if fewer); width:
-    components in a subspace; probes: cells for a query; wanted: rows that these must hold, or more cells are probed; rerank: codes
-    of a block that are ranked exactly; block: vectors (or queries) of a cell in a task; rounds: of k-means; seed."""
+    components in a subspace; probes: cells for a query, at least; recall: share of the true neighbours that the probed cells must hold
+    (more are probed until they do); trials: queries that this is measured on, at most; wanted: rows that these must hold, or more cells are
+    probed; rerank: codes of a block that are ranked exactly, ties with the last besides; block: vectors (or queries) of a cell in a task;
+    rounds: of k-means; seed."""
 
     sample: int = 40_000
     lists: int = 4096
     width: int = 4
     probes: int = 32
+    recall: float = 0.96
+    trials: int = 256
     wanted: int = 1_000
     rerank: int = 200
     block: int = 4_096
@@ -127,6 +132,44 @@ def _probe(held, sizes: np.ndarray, probes: int, wanted: int):
     return run
 
 
+def _true_cells(held, k: int):
+    """The cells of each trial query's k nearest rows of a task, by exact distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, q = held.value
+        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32))] * len(asked)
+        for batch in batches:
+            ids, cells, x = np.asarray(batch.column(0)), np.asarray(batch.column(1)), _matrix(batch.column(2))
+            for i, query_id in enumerate(asked):
+                score = np.sqrt(((x - q[i]) ** 2).sum(1))
+                score[ids == query_id] = np.inf
+                near = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1]) if len(score) > k else np.arange(len(score))
+                near = near[score[near] < np.inf]
+                score, at, cell = (np.concatenate(c) for c in zip(best[i], (score[near], ids[near], cells[near]), strict=True))
+                order = np.lexsort((at, score))[:k]
+                best[i] = (score[order], at[order], cell[order])
+        rows = [np.repeat(np.arange(len(asked)), [len(b[0]) for b in best]), *(np.concatenate(c) for c in zip(*best, strict=True))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.float64(), pa.int64(), pa.int32()), strict=True)], names=["trial", "score", "vec_id", "cell"])
+
+    return run
+
+
+def probes_needed(asked: DataFrame, rows: DataFrame, model: Model, k: int, settings: Settings) -> int:
+    """The fewest cells, but settings.probes, that hold settings.recall of the k true neighbours of trial queries, picked by the hash of their ids."""
+    if settings.probes >= len(model.centroids):
+        return settings.probes
+    few = asked.orderBy(F.xxhash64("query_id")).limit(settings.trials).toArrow()
+    if not len(few):
+        return settings.probes
+    q = _matrix(few.column("query"))
+    trial = rows.sparkSession.sparkContext.broadcast((few.column("query_id").to_pylist(), q))
+    near = rows.select("vec_id", "cell", "vector").mapInArrow(_true_cells(trial, k), "trial int, score double, vec_id long, cell int")
+    near = near.withColumn("rank", F.expr("row_number() over (partition by trial order by score, vec_id)")).where(F.col("rank") <= k).select("trial", "cell").toArrow()
+    place = np.stack([np.argsort(np.argsort(((model.centroids - x) ** 2).sum(1), kind="stable")) for x in q.astype(np.float32)])
+    needed = np.sort(place[np.asarray(near.column("trial")), np.asarray(near.column("cell"))]) + 1
+    return max(settings.probes, int(needed[max(0, int(np.ceil(settings.recall * len(needed))) - 1)])) if len(needed) else settings.probes
+
+
 def _search(held, width: int, k: int, rerank: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -186,7 +229,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, settings: Settin
         ranked = hits.withColumn("rank", F.expr("row_number() over (partition by query_id order by score, vec_id)"))
         return table(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
-    hits = found(asked, settings.probes, settings.wanted)
+    hits = found(asked, probes_needed(asked, rows, held.value, k, settings), settings.wanted)
     full = hits.groupBy("query_id").count().where(F.col("count") >= k)
     short = table(asked.join(full, "query_id", "left_anti"))
     if n > settings.wanted and not short.isEmpty():

@@ -140,6 +140,21 @@ def test_neighbours_edges(spark):
     assert ann.search(df.limit(0), df.limit(0)).collect() == [] and ann.search(df.where("vec_id = 0"), df.where("vec_id = 0")).collect() == []
 
 
+def test_neighbours_recall_where_probing_is_selective(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(13_000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 100 = 0"), 10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(got) and len(got) == 130
+
+
 def test_packing_loses_nothing_and_keeps_apart(docs):
     settings = packing.Settings(capacity=100, shard=8)
     got = packing.pack(docs, settings).collect()
