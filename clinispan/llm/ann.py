@@ -2,8 +2,8 @@
 
 Centroids and codebooks are fitted on a bounded sample in the driver; every vector is then assigned and encoded in tasks. A
 query probes the cells whose centroids are nearest, as many as the true neighbours of some queries, found by brute force, turn
-out to need; in each block of a cell, asymmetric distance tables rank the codes, and the best
-are ranked again by exact distance. Cells and their queries are dealt out in blocks, so a crowded cell is no hot group.
+out to need; in each block of a cell, asymmetric distance tables rank the codes, and the best, with all that tie with the last of
+them, are ranked again by exact distance. Cells and their queries are dealt out in blocks, so a crowded cell is no hot group.
 """
 
 from __future__ import annotations
@@ -185,7 +185,7 @@ def _search(held, width: int, k: int, rerank: int):
             tables = ((model.books - parts[:, None, :]) ** 2).sum(2)
             rough = tables[places, codes].sum(1)
             rough[ids == query_id] = np.inf
-            best = np.argpartition(rough, rerank)[:rerank] if len(rough) > rerank else np.arange(len(rough))
+            best = np.flatnonzero(rough <= np.partition(rough, rerank - 1)[rerank - 1]) if len(rough) > rerank else np.arange(len(rough))
             best = best[ids[best] != query_id]
             exact = np.sqrt(((x[best] - q) ** 2).sum(1))
             order = np.lexsort((ids[best], exact))[:k]

@@ -155,6 +155,16 @@ def test_neighbours_recall_where_probing_is_selective(spark):
     assert hits >= 0.9 * 10 * len(got) and len(got) == 130
 
 
+def test_neighbours_among_many_copies(spark):
+    rng = random.Random(4)
+    ids = list(range(1000))
+    rng.shuffle(ids)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in ids] + [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(1000, 1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = ann.search(df, df.where("vec_id = 500"), 10).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(i + 1, i, 0.0) for i in range(10)]
+
+
 def test_packing_loses_nothing_and_keeps_apart(docs):
     settings = packing.Settings(capacity=100, shard=8)
     got = packing.pack(docs, settings).collect()
