@@ -1,5 +1,6 @@
 """The n-gram join, substring removal and line dedup against brute force."""
 
+import random
 import re
 
 from clinispan.llm import line_dedup, ngram_join, substring_dedup
@@ -86,6 +87,54 @@ def test_lines_keep_the_first_of_each_kind(spark):
     assert got == sorted(want, key=lambda r: (r[0], str(r[1])))
 
 
+def chars(line):
+    return {line[i : i + 5] for i in range(len(line) - 4)}
+
+
+def linked(lines):
+    """The component of each line by brute force."""
+    known = [(i, chars(t)) for i, t in enumerate(lines)]
+    edges = [(a, b) for a, x in known for b, y in known[a + 1 :] if len(x & y) and len(x & y) >= 0.75 * len(x | y)]
+    return components(range(len(lines)), edges)
+
+
+def star(rng, n):
+    """A line of 40 words and n - 1 copies with 3 words replaced, all of 0.75 or more to it."""
+    def word():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+
+    base = [word() for _ in range(40)]
+    out = [" ".join(base)]
+    while len(out) < n:
+        w = list(base)
+        for j in rng.sample(range(40), 3):
+            w[j] = word()
+        x, y = chars(out[0]), chars(" ".join(w))
+        if len(x & y) >= 0.75 * len(x | y):
+            out.append(" ".join(w))
+    return out
+
+
+def test_lines_that_resemble_only_their_original(spark):
+    rng = random.Random(6)
+    groups = [star(rng, n) for n in (2, 10, 10, 10, 100, 300)]
+    lines = [(i, t) for i, t in enumerate(t for g in groups for t in g)]
+    rng.shuffle(lines)
+    out = line_dedup.dedup_lines(spark.createDataFrame(lines, "doc_id long, text string"))
+    assert sum(r["n_removed"] for r in out.collect()) == len(lines) - len(groups)
+
+
+def test_short_and_unspaced_lines(spark):
+    rng = random.Random(7)
+    lines = ["abcdefgh", "abcdefghi", "abcd", "abce", "abcde", "abcdef"]
+    for n in [*range(9, 60), 200]:
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        lines += [word, "#" + word, word[: n // 2] + "é" + word[n // 2 :]]
+    want = linked(lines)
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in out.collect() if r["n_removed"] == 0} == set(want.values())
+
+
 def test_lines_of_nothing(empty):
     assert line_dedup.dedup_lines(empty).collect() == []
 
