@@ -15,8 +15,6 @@ from clinispan.llm.scratch import table
 
 #: Cells of a fingerprint and of the largest sketch; rounds of peeling; digests dealt to each of a pair's larger sketches, about.
 CELLS, LARGE, ROUNDS, LOAD = 24, 96, 12, 12
-#: A line over this many characters is cut at the ends of its sentences.
-LONG_LINE = 400
 #: Ranges of doc_id in which a document's predecessor is looked up.
 RANGES = 1024
 #: Stands for a null doc_id, and is read as one.
@@ -25,8 +23,8 @@ _CELL = "struct<n:int,k:bigint,c:bigint>"
 
 
 def paragraph_digests(text: str) -> Column:
-    """The distinct digests of a text's paragraphs (non-blank lines; sentences of long ones); none for null or blank."""
-    return F.expr(f"array_distinct(transform(filter(flatten(transform(split({text}, '\\n+'), l -> if(length(l) > {LONG_LINE}, split(l, '(?<=[.!?])[ ]+'), array(l)))), p -> trim(p) <> ''), p -> xxhash64(trim(p))))")
+    """The distinct digests of a text's paragraphs (the sentences of its non-blank lines); none for null or blank."""
+    return F.expr(f"array_distinct(transform(filter(flatten(transform(split({text}, '\\n+'), l -> split(l, '(?<=[.!?])[ ]+'))), p -> trim(p) <> ''), p -> xxhash64(trim(p))))")
 
 
 def _inside(d: str, cell: int, cells: int) -> str:

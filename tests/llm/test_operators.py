@@ -249,6 +249,13 @@ def test_likeness_is_that_of_the_paragraph_sets(spark):
         assert math.isclose(got[i], len({*x} & {*y}) / len({*x} | {*y}) if x or y else 1.0)
 
 
+def test_short_lines_of_sentences_are_likened_by_sentence(spark):
+    text = "".join(f"This is sentence {i:02}. " for i in range(8)).strip()
+    other = "".join(f"Another one is {i:04}. " for i in range(8)).strip()
+    got = {r["doc_id"]: r["near_edited"] for r in fingerprints.fingerprint_versions(spark.createDataFrame([(1, text), (2, other)], "doc_id long, text string")).collect()}
+    assert len(text) < 400 and got[1] >= 0.5 and got[2] >= 0.5
+
+
 def test_fingerprints_of_versions(docs, empty):
     rows = sorted(((r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["text"] or "") for r in docs.distinct().collect()))
     got = fingerprints.fingerprint_versions(docs).collect()
