@@ -9,6 +9,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
@@ -109,6 +110,23 @@ def test_language_edges(spark):
     assert language_id.train(spark.createDataFrame([], "text string, lang string")) == {}
 
 
+def long_text_score(n, settings):
+    """The score of a text of n characters in words of one of two languages, whose order no dictionary knows."""
+    rng = random.Random(8)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 10))) for _ in range(4000)] for lang, letters in (("aa", "abcdefghijklm"), ("bb", "nopqrstuvwxyz"))}
+    learned = {lang: " ".join(rng.choice(w) for _ in range(9000)).encode()[: settings.dictionary] for lang, w in words.items()}
+    text = " ".join(rng.choice(words["aa"]) for _ in range(n // 7))
+    batch = pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])
+    (got,) = language_id._classify(learned, settings)(iter([batch]))
+    assert got.column(0)[0].as_py() == "aa"
+    return got.column(1)[0].as_py()
+
+
+def test_score_does_not_depend_on_length():
+    settings = language_id.Settings()
+    assert long_text_score(3_000_000, settings) > 0.9 * long_text_score(20_000, settings) > 0.1
+
+
 def brute(vectors, query, k):
     x = np.array(dict(vectors)[query])
     return sorted((math.dist(x, v), i) for i, v in vectors if i != query)[:k]
