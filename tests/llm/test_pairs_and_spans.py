@@ -50,6 +50,10 @@ def test_keep_one_keeps_columns_and_unlinked_rows(docs):
     assert 0 in ids and 10 not in ids and 11 not in ids and ids.count(43) == 2 and 40 in ids and None in ids and 44 not in ids
 
 
+def test_ngram_join_names_its_links_for_what_they_are(empty):
+    assert ngram_join.near_duplicate_classes(empty).columns == ["doc_id", "n_shingles", "component_id", "n_spanning_links"]
+
+
 def test_ngram_join_of_nothing(empty):
     assert ngram_join.near_duplicate_classes(empty).collect() == [] and ngram_join.keep_one(empty).collect() == []
 
