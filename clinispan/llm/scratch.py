@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table (ids, hashes, a few numbers: under 64 bytes a row) may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows of a key from which join_counted() doesn't shuffle them to one task.
+HOT_ROWS = 1_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -45,3 +47,19 @@ def drop(df: DataFrame) -> None:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if the narrow table df, counted now, has few enough rows; else df, for Spark to shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def join_counted(many: DataFrame, one: DataFrame, on: str, count: str, how: str = "inner") -> DataFrame:
+    """many joined with the narrow table one (a row per key; count: about how many rows of many have it), inner or left.
+
+    Keys with more than HOT_ROWS rows, or with as many more as leave BROADCAST_ROWS keys at most, are joined by broadcast and the
+    rest by shuffle, so a key that a third of the rows have is dealt out as the rows lie. Both tables are read more than once.
+    """
+    least = HOT_ROWS
+    while (n := one.where(F.col(count) > least).count()) > BROADCAST_ROWS:
+        least *= 16
+    if not n:
+        return many.join(one, on, how)
+    hot = F.broadcast(one.where(F.col(count) > least))
+    rest = many.join(hot.select(on), on, "left_anti").join(one.where(f"not coalesce({count} > {least}, false)"), on, how)
+    return many.join(hot, on).unionByName(rest)

@@ -3,9 +3,14 @@
 import random
 import re
 
+import numpy as np
+
 from clinispan.llm import line_dedup, ngram_join, substring_dedup
 from clinispan.llm.components import connected_components
 
+#: Limits so low that small fixtures reach the head's parts, long prefixes, crowded tokens and several blocks.
+LOW = ngram_join.Settings(head=200, shortest=2, longest=4, cost=1, heavy=4, flush=500, crowd=3, block=16, block_tokens=1500)
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -37,12 +42,62 @@ def test_ngram_join_finds_every_component(docs):
     known = [(i, shingles(t)) for i, t in rows if i is not None]
     edges = [(a, b) for a, x in known for b, y in known if a < b and x and y and 100 * len(x & y) >= 75 * len(x | y)]
     want = components({i for i, _ in known}, edges)
-    got = ngram_join.near_duplicate_classes(docs).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"]) for r in got) == sorted((i is None, i or 0, len(shingles(t))) for i, t in rows)
-    assert all(r["component_id"] == (want[r["doc_id"]] if r["doc_id"] is not None else None) for r in got)
+    sets = [x for _, x in known]
+    n_links = {(i, len(x)): sum(1 for y in sets if x and y and 100 * len(x & y) >= 75 * len(x | y)) - bool(x) for i, x in known}
+    for settings in (ngram_join.Settings(), LOW):
+        got = ngram_join.near_duplicate_classes(docs, settings=settings).collect()
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"]) for r in got) == sorted((i is None, i or 0, len(shingles(t))) for i, t in rows)
+        assert all(r["component_id"] == (want[r["doc_id"]] if r["doc_id"] is not None else None) for r in got)
+        assert all(r["n_links"] == (n_links[(r["doc_id"], r["n_shingles"])] if r["doc_id"] is not None else 0) for r in got)
     assert len(set(want.values())) < len(want) - 8
 
 
+def variants(rng, base, n, changes):
+    """n texts of base's words, of which so many are replaced, as often by one of three words as by one of their own."""
+    out = []
+    for i in range(n):
+        w = list(base)
+        for j in rng.sample(range(len(base)), rng.choice(changes)):
+            w[j] = f"alt{rng.randrange(3)}" if rng.random() < 0.5 else f"own{i}x{j}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_ngram_join_of_crowded_groups(spark):
+    """Groups of near copies that do not all link, and a passage that short texts share, with the limits so low that each way is taken."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    passage = [f"p{i}" for i in range(24)]
+    texts = variants(rng, base, 150, (1, 2, 4, 6, 8, 10)) + variants(rng, base[:70], 60, (1, 3, 5))
+    texts += [" ".join(passage + [f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(2, 16))]) for _ in range(80)] + [" ".join(passage)] * 7
+    texts += [" ".join(f"z{rng.randrange(300)}" for _ in range(40)) for _ in range(60)]
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and 100 * len(x & y) >= 75 * len(x | y)]
+    want = components(range(len(texts)), links)
+    degree = [0] * len(texts)
+    for a, b in links:
+        degree[a] += 1
+        degree[b] += 1
+    assert len(set(want.values())) < len(texts) - 50 and len(links) > 1000
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for settings in (ngram_join.Settings(), LOW):
+        got = {r["doc_id"]: r for r in ngram_join.near_duplicate_classes(df, settings=settings).collect()}
+        assert {i: r["component_id"] for i, r in got.items()} == want
+        assert [got[i]["n_links"] for i in range(len(texts))] == degree
+    assert {r["doc_id"] for r in ngram_join.keep_one(df, settings=LOW).collect()} == set(want.values())
+
+
+def test_linking_equals_set_arithmetic():
+    rng = random.Random(12)
+    sets = [np.unique(np.array([rng.randrange(60) for _ in range(rng.randrange(1, 60))], dtype=np.int64)) for _ in range(40)]
+    got = ngram_join.linking(sets[:25], sets[15:], ngram_join.Rule())
+    for i, x in enumerate(sets[:25]):
+        for j, y in enumerate(sets[15:]):
+            x1, y1 = set(x.tolist()), set(y.tolist())
+            assert got[i, j] == (bool(x1 & y1) and 100 * len(x1 & y1) >= 75 * len(x1 | y1))
+
+
 def test_keep_one_keeps_columns_and_unlinked_rows(docs):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
@@ -50,8 +105,8 @@ def test_keep_one_keeps_columns_and_unlinked_rows(docs):
     assert 0 in ids and 10 not in ids and 11 not in ids and ids.count(43) == 2 and 40 in ids and None in ids and 44 not in ids
 
 
-def test_ngram_join_names_its_links_for_what_they_are(empty):
-    assert ngram_join.near_duplicate_classes(empty).columns == ["doc_id", "n_shingles", "component_id", "n_spanning_links"]
+def test_ngram_join_columns(empty):
+    assert ngram_join.near_duplicate_classes(empty).columns == ["doc_id", "n_shingles", "component_id", "n_links"]
 
 
 def test_ngram_join_of_nothing(empty):
