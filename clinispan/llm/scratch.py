@@ -49,7 +49,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def join_counted(many: DataFrame, one: DataFrame, on: str, count: str, how: str = "inner") -> DataFrame:
+def join_counted(many: DataFrame, one: DataFrame, on: str | list[str], count: str, how: str = "inner") -> DataFrame:
     """many joined with the narrow table one (a row per key; count: about how many rows of many have it), inner or left.
 
     Keys with more than HOT_ROWS rows, or with as many more as leave BROADCAST_ROWS keys at most, are joined by broadcast and the
@@ -61,5 +61,5 @@ def join_counted(many: DataFrame, one: DataFrame, on: str, count: str, how: str
     if not n:
         return many.join(one, on, how)
     hot = F.broadcast(one.where(F.col(count) > least))
-    rest = many.join(hot.select(on), on, "left_anti").join(one.where(f"not coalesce({count} > {least}, false)"), on, how)
+    rest = many.join(hot.select(*([on] if isinstance(on, str) else on)), on, "left_anti").join(one.where(f"not coalesce({count} > {least}, false)"), on, how)
     return many.join(hot, on).unionByName(rest)

@@ -194,6 +194,36 @@ def test_short_and_unspaced_lines(spark):
     assert {r["doc_id"] for r in out.collect() if r["n_removed"] == 0} == set(want.values())
 
 
+LOW_LINES = line_dedup.Settings(crowd=4, block=16)
+
+
+def test_crowded_lines_against_brute_force(spark):
+    """Lines of one family at all distances from each other, with and without a common passage, by every way of comparing."""
+    rng = random.Random(9)
+
+    def word():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+
+    lines = set()
+    for size, most in ((40, 7), (25, 4), (14, 3), (8, 2)):
+        base = [word() for _ in range(size)]
+        for _ in range(60):
+            w = list(base)
+            for j in rng.sample(range(size), rng.randrange(most + 1)):
+                w[j] = word()
+            lines.add(" ".join(w))
+    common = [word() for _ in range(12)]
+    lines |= {" ".join(common + [word() for _ in range(8)]) for _ in range(100)}
+    lines = sorted(lines)
+    rng.shuffle(lines)
+    want = linked(lines)
+    assert 100 < len(set(want.values())) < len(lines) - 50
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    for settings in (line_dedup.Settings(), LOW_LINES):
+        left = {r["doc_id"] for r in line_dedup.dedup_lines(df, settings).collect() if r["n_removed"] == 0}
+        assert left >= set(want.values()) and len(left - set(want.values())) <= 1
+
+
 def test_lines_of_nothing(empty):
     assert line_dedup.dedup_lines(empty).collect() == []
 
