@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,20 +11,21 @@ from pyspark.sql import functions as F
 from clinispan import lexicon
 from clinispan.functions.text import let
 
-_NAMES = sorted((name for name, _ in lexicon.SECTION_ALIASES), key=len, reverse=True)
+_ALIASES = dict(lexicon.pairs(lexicon.SECTION_ALIASES))
+_NAMES = sorted(_ALIASES, key=len, reverse=True)
 #: A header: a name and a colon at the start of the text or of a line.
 HEADER = r"(?iu)(?:\A|(?<=\n))[ \t]*(" + "|".join(map(re.escape, _NAMES)) + r")[ \t]*:"
 SECTIONS = "array<struct<section:string,start:int,end:int>>"
 PREAMBLE = "preamble"
 
 
-def literal_map(entries: dict) -> Column:
+def literal_map(entries: Mapping) -> Column:
     return F.create_map(*(F.lit(x) for pair in entries.items() for x in pair))
 
 
 def section_spans(text: Column) -> Column:
     """array<struct<section, start, end>>: bodies from a header's end to the next header; a preamble before the first; all of the text is one without headers."""
-    aliases = literal_map(dict(lexicon.SECTION_ALIASES))
+    aliases = literal_map(_ALIASES)
 
     def spans(parts: Column, heads: Column, names: Column) -> Column:
         def add(state: Column, i: Column) -> Column:
@@ -48,9 +50,10 @@ def section_at(spans: Column, offset: Column) -> Column:
     return F.coalesce(F.get(F.filter(spans, lambda x: (x["start"] <= offset) & (offset < x["end"])), F.lit(0))["section"], F.lit(PREAMBLE))
 
 
-def section_default(section: Column) -> Column:
-    return F.try_element_at(literal_map(lexicon.SECTION_DEFAULT), section)
+def section_default(section: Column, defaults: Mapping[str, str] = lexicon.SECTION_DEFAULT) -> Column:
+    """The assertion that a section implies, null for none."""
+    return F.try_element_at(literal_map(defaults), section)
 
 
-def section_authority(section: Column) -> Column:
-    return F.coalesce(F.try_element_at(literal_map(lexicon.SECTION_AUTHORITY), section), F.lit(lexicon.OTHER_AUTHORITY))
+def section_authority(section: Column, authority: Mapping[str, int] = lexicon.SECTION_AUTHORITY) -> Column:
+    return F.coalesce(F.try_element_at(literal_map(authority), section), F.lit(lexicon.OTHER_AUTHORITY))

@@ -14,13 +14,14 @@ from clinispan import lexicon
 
 #: What Python and Java both call white space, wherever they differ.
 SPACE = r"[\s\x1c-\x1f]"
-SENTENCE_END = rf"(?U)(?<=[.!?;]){SPACE}+|\n+"
+# Patterns of sentence ends, doses, routes, frequencies, breaks in lists and talk of allergies.
+SENTENCE_END = rf"(?U)(?<=[.;!?]){SPACE}+|\n+"
 DOSE = r"(?iU)(\d+(?:\.\d+)?)\s*(mg|mcg|g|units?|ml|iu)\b"
 ROUTE = r"(?iU)\b(po|by mouth|orally|iv|intravenous(?:ly)?|im|sublingual|sl|subcutaneous(?:ly)?|subq|sc|inhaled|nebulized|topical|pr|rectally|transdermal)\b"
 FREQUENCY = r"(?iU)\b(qd|q\.?d\.?|daily|once daily|bid|b\.?i\.?d\.?|twice daily|tid|t\.?i\.?d\.?|three times daily|qid|q\.?i\.?d\.?|four times daily|qhs|nightly|at bedtime|weekly|every other day|q\d+h|every \d+ hours|prn|as needed)\b"
 LIST_BREAK = r"(?U)\b(and|,|;)\s+(?=[a-z])"
 ALLERGY_CONTEXT = "allerg|adverse reaction|intoleran"
-#: Characters after a drug's name in which its attributes are looked for.
+# Fixed value: characters after a drug's name in which its attributes are looked for.
 ATTRIBUTE_WINDOW = 60
 
 SENTENCE = "struct<text:string,start:int,end:int>"

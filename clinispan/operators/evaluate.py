@@ -16,27 +16,27 @@ def predicted(gold: DataFrame, sections: bool = False) -> DataFrame:
     return extract.extract_documents(gold, sections=True) if sections else extract.with_entities(gold)
 
 
-def _exploded(cases: DataFrame, column: str) -> DataFrame:
-    return cases.select("case_id", F.posexplode(column).alias("ord", "x")).select("case_id", "ord", "x.concept", "x.kind", "x.assertion")
-
-
-def _numbered(df: DataFrame, *keys: str) -> DataFrame:
-    return df.withColumn("k", F.row_number().over(Window.partitionBy("case_id", *keys).orderBy("ord")))
-
-
 def matches(cases: DataFrame) -> DataFrame:
     """Predicted entities against expected ones: case_id, concept, kind, expected and got assertion, outcome.
 
     cases has expected and entities. Equal triples are matched as multisets (exact); of the rest, pairs of equal concept and kind, in
-    order, are wrong_assertion; what is left is missed or spurious.
+    order, are wrong_assertion; what is left is missed or spurious. One pass over cases: both sides are numbered together.
     """
-    want, got = (_numbered(_exploded(cases, c), *_KEY) for c in ("expected", "entities"))
-    on = ["case_id", *_KEY, "k"]
-    exact = want.join(got.drop("ord"), on).select("case_id", "concept", "kind", F.col("assertion").alias("expected"), F.col("assertion").alias("got"), F.lit("exact").alias("outcome"))
-    left = [_numbered(a.join(b.select(*on), on, "left_anti").drop("k"), "concept", "kind").select("case_id", "concept", "kind", "k", F.col("assertion").alias(name)) for a, b, name in ((want, got, "expected"), (got, want, "got"))]
-    rest = left[0].join(left[1], ["case_id", "concept", "kind", "k"], "full_outer")
-    outcome = F.when(F.col("got").isNull(), "missed").when(F.col("expected").isNull(), "spurious").otherwise("wrong_assertion")
-    return exact.union(rest.select("case_id", "concept", "kind", "expected", "got", outcome.alias("outcome")))
+
+    def side(column: str, wanted: bool) -> Column:
+        return F.transform(column, lambda x, i: F.struct(F.lit(wanted).alias("wanted"), i.alias("ord"), *(x[n].alias(n) for n in _KEY)))
+
+    each = cases.select("case_id", F.inline(F.concat(side("expected", True), side("entities", False))))
+    place = Window.partitionBy("case_id", *_KEY, "wanted").orderBy("ord")
+    pair = Window.partitionBy("case_id", *_KEY, "k")
+    paired = each.withColumn("k", F.row_number().over(place)).withColumn("exact", F.count("*").over(pair) == 2)
+    rest = F.row_number().over(Window.partitionBy("case_id", "concept", "kind", "exact", "wanted").orderBy("ord"))
+    same = F.when(F.col("exact"), F.col("assertion")).otherwise("")
+    keyed = paired.withColumns({"rest": rest, "same": same}).withColumn("k", F.when(F.col("exact"), F.col("k")).otherwise(F.col("rest")))
+    sides = (F.max(F.when(F.col("wanted") == w, F.col("assertion"))).alias(n) for w, n in ((True, "expected"), (False, "got")))
+    out = keyed.groupBy("case_id", "concept", "kind", "exact", "same", "k").agg(*sides)
+    outcome = F.when(F.col("exact"), "exact").when(F.col("got").isNull(), "missed").when(F.col("expected").isNull(), "spurious").otherwise("wrong_assertion")
+    return out.select("case_id", "concept", "kind", "expected", "got", outcome.alias("outcome"))
 
 
 def _prf(tp: Column, fp: Column, fn: Column, prefix: str) -> list[Column]:
@@ -56,12 +56,14 @@ def score(cases: DataFrame) -> DataFrame:
     exact_* counts a wrong assertion neither as false positive nor as false negative; strict_* counts it as both;
     relaxed_* counts it as right.
     """
-    found = matches(cases)
-    n = {o: F.count_if(F.col("outcome") == o) for o in ("exact", "wrong_assertion", "missed", "spurious")}
-    counts = found.agg(*(v.alias(k) for k, v in n.items()))
-    ok = exact_cases(cases).agg(F.count("*").alias("n_cases"), F.count_if("ok").alias("exact_case_match"))
-    e, w, fn, fp = (F.col(c) for c in n)
-    return ok.crossJoin(F.broadcast(counts)).select("n_cases", "exact_case_match", e.alias("tp_exact"), (e + w).alias("tp_relaxed"), fp.alias("fp"), fn.alias("fn"), *_prf(e, fp, fn, "exact"), *_prf(e + w, fp, fn, "relaxed"), *_prf(e, fp + w, fn + w, "strict"))
+    outcomes = ("exact", "wrong_assertion", "missed", "spurious")
+    by_case = matches(cases).groupBy("case_id").agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in outcomes))
+    # A case without outcomes has nothing to find, and nothing was found.
+    every = cases.select("case_id").join(by_case, "case_id", "left")
+    wrong = F.coalesce(F.col("wrong_assertion") + F.col("missed") + F.col("spurious"), F.lit(0))
+    sums = every.agg(F.count("*").alias("n_cases"), F.count_if(wrong == 0).alias("exact_case_match"), *(F.coalesce(F.sum(o), F.lit(0)).alias(o) for o in outcomes))
+    e, w, fn, fp = (F.col(c) for c in outcomes)
+    return sums.select("n_cases", "exact_case_match", e.alias("tp_exact"), (e + w).alias("tp_relaxed"), fp.alias("fp"), fn.alias("fn"), *_prf(e, fp, fn, "exact"), *_prf(e + w, fp, fn, "relaxed"), *_prf(e, fp + w, fn + w, "strict"))
 
 
 def confusion(found: DataFrame) -> DataFrame:
@@ -137,9 +139,20 @@ def rows_from_gold(gold: DataFrame) -> DataFrame:
     return rows.select((F.col("case_id") * 1000 + F.col("ord")).cast("long").alias("id"), "text", "e.start", "e.end", "e.concept", "assertion")
 
 
-#: What the known failures of a held-out set are about, by the construction that the rules do not cover.
-ERROR_CATEGORIES = {
-    "scope termination": "a present-tense pivot such as 'now on' does not end a historical scope, so current drugs become historical",
-    "dictionary partition": "a drug named as an allergen stays a medication, because the two dictionaries are apart",
-    "lexicon coverage": "a negation that no trigger lists leaves the finding present",
-}
+def categorised(found: DataFrame, categories: DataFrame) -> DataFrame:
+    """errors() with category and cause, from a reader's own small table (outcome, expected, category, cause); null where it has no row for an outcome and expected assertion."""
+    return errors(found).join(categories, ["outcome", "expected"], "left").select("case_id", "outcome", "concept", "kind", "expected", "got", "category", "cause")
+
+
+def distinct_classes(rows: DataFrame, *columns: str) -> DataFrame:
+    """How many different assertions each of the columns has, in one row."""
+    return rows.agg(*(F.count_distinct(c).alias(f"{c}_classes") for c in columns))
+
+
+def bake_off(rows: DataFrame, names: tuple[str, str] = ("learned", "rule")) -> DataFrame:
+    """Two classifiers of rows (assertion, and a column for each of names) by class: support, each one's precision, recall and F1, and whose F1 is higher."""
+    sides = [report(per_class(rows, "assertion", n)).select("label", *(F.col(c).alias(f"{n}_{c}") for c in ("support", "precision", "recall", "f1"))) for n in names]
+    both = sides[0].join(sides[1], "label", "full_outer")
+    support = F.coalesce(*(F.col(f"{n}_support") for n in names))
+    figures = [F.round(f"{n}_{c}", 6).alias(f"{n}_{c}") for n in names for c in ("precision", "recall", "f1")]
+    return both.select("label", support.alias("support"), *figures, winner(F.col(f"{names[0]}_f1"), F.col(f"{names[1]}_f1"), names).alias("winner"))

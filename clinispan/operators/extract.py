@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,33 +12,37 @@ from clinispan.functions import context, sections, text
 from clinispan.functions.sections import literal_map
 
 KINDS = ("condition", "medication", "allergy")
+#: The dictionaries by kind: phrases by concept.
+DICTIONARIES = {"condition": lexicon.CONDITION_TERMS, "medication": lexicon.MEDICATION_TERMS, "allergy": lexicon.ALLERGEN_TERMS}
+#: The terminologies by kind: their name, and (code, display) by concept.
+TERMINOLOGIES = {"condition": ("SNOMED-CT", lexicon.SNOMED), "medication": ("RxNorm", lexicon.RXNORM)}
 _HIT = "array<struct<s:int,e:int,kind:string,concept:string>>"
 
 
-def _hits(low: Column) -> Column:
+def _hits(low: Column, dictionaries: Mapping[str, Mapping[str, Sequence[str]]] = DICTIONARIES) -> Column:
     """Matches of the three dictionaries; allergens only where the sentence speaks of allergies."""
 
-    def of(kind: str, entries: Sequence[tuple[str, str]]) -> Column:
-        return F.transform(text.terms(low, text.dictionary(entries)), lambda h: F.struct(h["s"].alias("s"), h["e"].alias("e"), F.lit(kind).alias("kind"), h["concept"].alias("concept")))
+    def of(kind: str) -> Column:
+        return F.transform(text.terms(low, text.dictionary(lexicon.pairs(dictionaries[kind]))), lambda h: F.struct(h["s"].alias("s"), h["e"].alias("e"), F.lit(kind).alias("kind"), h["concept"].alias("concept")))
 
-    allergies = F.when(low.rlike(text.ALLERGY_CONTEXT), of("allergy", lexicon.ALLERGEN_TERMS)).otherwise(F.array().cast(_HIT))
-    return F.concat(of("condition", lexicon.CONDITION_TERMS), of("medication", lexicon.MEDICATION_TERMS), allergies)
+    allergies = F.when(low.rlike(text.ALLERGY_CONTEXT), of("allergy")).otherwise(F.array().cast(_HIT))
+    return F.concat(of("condition"), of("medication"), allergies)
 
 
-def _code(kind: Column, concept: Column) -> Column:
+def _code(kind: Column, concept: Column, terminologies: Mapping[str, tuple[str, Mapping[str, tuple[str, str]]]]) -> Column:
     """struct<code_system, code, code_display>, nulls for a concept without a code."""
-    table = literal_map({f"{k}/{c}": f"{s}\0{code}\0{show}" for k, s, codes in (("condition", "SNOMED-CT", lexicon.SNOMED), ("medication", "RxNorm", lexicon.RXNORM)) for c, (code, show) in codes.items()})
+    table = literal_map({f"{k}/{c}": f"{s}\0{code}\0{show}" for k, (s, codes) in terminologies.items() for c, (code, show) in codes.items()})
     found = F.split(F.try_element_at(table, F.concat(kind, F.lit("/"), concept)), "\0")
     return F.struct(*(F.get(found, F.lit(i)).alias(n) for i, n in enumerate(("code_system", "code", "code_display"))))
 
 
-def _entities(sentence: Column, sent_id: Column) -> Column:
+def _entities(sentence: Column, sent_id: Column, terminologies: Mapping[str, tuple[str, Mapping[str, tuple[str, str]]]]) -> Column:
     def entity(hit: Column) -> Column:
         labels = F.transform(F.filter(sentence["scopes"], lambda x: (x["a"] <= hit["s"]) & (hit["e"] <= x["b"])), lambda x: x["label"])
         found = F.struct(sent_id.alias("sent_id"), (sentence["start"] + hit["s"]).alias("start"), (sentence["start"] + hit["e"]).alias("end"), F.substring(sentence["text"], hit["s"] + 1, hit["e"] - hit["s"]).alias("text"), hit["kind"].alias("kind"), hit["concept"].alias("concept"))
         attributes = F.when(hit["kind"] == "medication", text.medication_attributes(sentence["text"], hit["e"]))
         empty = F.struct(*(F.lit(None).cast("string").alias(n) for n in ("dose", "route", "frequency")))
-        parts = F.struct(found.alias("f"), context.axes(labels).alias("x"), F.coalesce(attributes, empty).alias("m"), _code(hit["kind"], hit["concept"]).alias("c"))
+        parts = F.struct(found.alias("f"), context.axes(labels).alias("x"), F.coalesce(attributes, empty).alias("m"), _code(hit["kind"], hit["concept"], terminologies).alias("c"))
         return text.let(parts, lambda p: F.struct(*(p["f"][n].alias(n) for n in ("sent_id", "start", "end", "text", "kind", "concept")), *(p["x"][n].alias(n) for n in ("presence", "experiencer", "temporality", "assertion", "assertion_source")), p["m"].alias("attrs"), *(p["c"][n].alias(n) for n in ("code_system", "code", "code_display"))))
 
     return F.transform(sentence["hits"], entity)
@@ -54,21 +58,22 @@ def with_sentences(docs: DataFrame, column: str = "text") -> DataFrame:
     return docs.withColumn("sentences", text.sentences(F.coalesce(F.col(column), F.lit(""))))
 
 
-def with_entities(docs: DataFrame, column: str = "text", keep_stages: bool = False) -> DataFrame:
+def with_entities(docs: DataFrame, column: str = "text", keep_stages: bool = False, dictionaries: Mapping = DICTIONARIES, terminologies: Mapping = TERMINOLOGIES) -> DataFrame:
     """docs with entities, an array in the order of their starts (conditions, medications, allergies where these are equal).
 
     Scopes are computed for sentences with a match only. keep_stages keeps the columns sentences and matched (sentences
-    with hits, masked text's scopes and triggers), from which the views of operators.views come.
+    with hits, masked text's scopes and triggers), from which the views of operators.views come. dictionaries and terminologies by
+    kind stand in for those of the package; each of KINDS needs a dictionary, if an empty one.
     """
     out = with_sentences(docs, column)
-    found = F.transform("sentences", lambda s, i: text.let(F.lower(s["text"]), lambda low: F.struct(i.alias("sent_id"), s["text"].alias("text"), s["start"].alias("start"), low.alias("low"), _hits(low).alias("hits"))))
+    found = F.transform("sentences", lambda s, i: text.let(F.lower(s["text"]), lambda low: F.struct(i.alias("sent_id"), s["text"].alias("text"), s["start"].alias("start"), low.alias("low"), _hits(low, dictionaries).alias("hits"))))
     out = out.withColumn("matched", F.filter(found, lambda s: F.size(s["hits"]) > 0))
     out = out.withColumn("matched", F.transform("matched", lambda s: F.struct(*(s[n].alias(n) for n in ("sent_id", "text", "start", "low", "hits")), context.scopes(s["low"]).alias("scopes"))))
-    out = out.withColumn("entities", F.array_sort(F.flatten(F.transform("matched", lambda s: _entities(s, s["sent_id"]))), _by_start))
+    out = out.withColumn("entities", F.array_sort(F.flatten(F.transform("matched", lambda s: _entities(s, s["sent_id"], terminologies))), _by_start))
     return out if keep_stages else out.drop("sentences", "matched")
 
 
-def with_sections(docs: DataFrame, column: str = "text", kinds: Sequence[str] = ("condition",), apply: bool = True) -> DataFrame:
+def with_sections(docs: DataFrame, column: str = "text", kinds: Sequence[str] = ("condition",), apply: bool = True, defaults: Mapping[str, str] = lexicon.SECTION_DEFAULT) -> DataFrame:
     """docs (with entities) with sections, and with apply also section_changes: findings of kinds that no sentence qualifies take the assertion that their section implies.
 
     Only assertion changes; the axes and assertion_source stay as the sentence left them. Each entity gains section and
@@ -78,7 +83,7 @@ def with_sections(docs: DataFrame, column: str = "text", kinds: Sequence[str] =
 
     def placed(e: Column) -> Column:
         def filled(section: Column) -> Column:
-            default = F.when(e["kind"].isin(*kinds) & (e["assertion"] == "present"), sections.section_default(section)) if apply else F.lit(None).cast("string")
+            default = F.when(e["kind"].isin(*kinds) & (e["assertion"] == "present"), sections.section_default(section, defaults)) if apply else F.lit(None).cast("string")
             return text.let(default, lambda d: e.withField("section", section).withField("section_default", d).withField("assertion", F.coalesce(d, e["assertion"])))
 
         return text.let(sections.section_at(F.col("sections"), e["start"]), filled)

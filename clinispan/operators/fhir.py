@@ -45,13 +45,45 @@ def numbered(docs: DataFrame, note: str = "note_id", patient: str | None = "pati
     return out.withColumn("n", F.col("n") + 1).withColumn("id", F.concat_ws("-", "note_id", "n"))
 
 
-def conditions(entities: DataFrame) -> DataFrame:
-    """Condition resources of numbered(): of the patient, and no conditional instructions."""
-    e, source = F.col("e"), F.array(_reference("DocumentReference/", F.col("note_id")))
-    kept = entities.where((e["kind"] == "condition") & ~e["assertion"].isin("family", "hypothetical"))
+def _condition(e: Column) -> list[Column]:
     clinical = F.try_element_at(literal_map(CLINICAL_STATUS), e["assertion"])
     verification = F.try_element_at(literal_map(VERIFICATION_STATUS), e["assertion"])
-    return kept.select("note_id", "n", F.lit("Condition").alias("resourceType"), "id", _reference("Patient/", F.col("patient_id")).alias("subject"), _concept(e).alias("code"), _status(CONDITION_VERIFICATION, verification).alias("verificationStatus"), F.array(F.struct(source.alias("detail"))).alias("evidence"), _status(CONDITION_CLINICAL, clinical).alias("clinicalStatus"))
+    source = F.array(_reference("DocumentReference/", F.col("note_id")))
+    return [F.lit("Condition").alias("resourceType"), F.col("id"), _reference("Patient/", F.col("patient_id")).alias("subject"), _concept(e).alias("code"), _status(CONDITION_VERIFICATION, verification).alias("verificationStatus"), F.array(F.struct(source.alias("detail"))).alias("evidence"), _status(CONDITION_CLINICAL, clinical).alias("clinicalStatus")]
+
+
+def _medication(e: Column) -> list[Column]:
+    a = e["attrs"]
+    needed = (e["assertion"] == "hypothetical") | F.coalesce(a["frequency"].isin("prn", "as needed"), F.lit(False))
+    quantity = F.struct(F.split_part(a["dose"], F.lit(" "), F.lit(1)).cast("double").alias("value"), F.split_part(a["dose"], F.lit(" "), F.lit(2)).alias("unit"))
+    rate = F.when(a["dose"].isNotNull(), F.array(F.struct(quantity.alias("doseQuantity"))))
+    dosage = F.struct(rate.alias("doseAndRate"), F.when(a["route"].isNotNull(), F.struct(a["route"].alias("text"))).alias("route"), a["frequency"].alias("text"), F.when(needed, F.lit(True)).alias("asNeededBoolean"))
+    some = a["dose"].isNotNull() | a["route"].isNotNull() | a["frequency"].isNotNull() | needed
+    status = F.try_element_at(literal_map(MEDICATION_STATUS), e["assertion"])
+    return [F.lit("MedicationStatement").alias("resourceType"), F.col("id"), _reference("Patient/", F.col("patient_id")).alias("subject"), status.alias("status"), _concept(e).alias("medicationCodeableConcept"), F.array(_reference("DocumentReference/", F.col("note_id"))).alias("derivedFrom"), F.when(some, F.array(dosage)).alias("dosage")]
+
+
+def _allergy(e: Column) -> list[Column]:
+    return [F.lit("AllergyIntolerance").alias("resourceType"), F.col("id"), _reference("Patient/", F.col("patient_id")).alias("patient"), _status(ALLERGY_CLINICAL, F.lit("active")).alias("clinicalStatus"), _status(ALLERGY_VERIFICATION, F.lit("confirmed")).alias("verificationStatus"), _concept(e).alias("code")]
+
+
+def _family(relatives: Column) -> list[Column]:
+    return [F.lit("FamilyMemberHistory").alias("resourceType"), F.concat("note_id", F.lit("-fmh")).alias("id"), F.lit("completed").alias("status"), _reference("Patient/", F.col("patient_id")).alias("patient"), F.struct(F.lit(RELATIONSHIP).alias("text")).alias("relationship"), F.transform(relatives, lambda e: F.struct(_concept(e).alias("code"))).alias("condition")]
+
+
+def _own(e: Column) -> Column:
+    """A condition of the patient, and no conditional instruction."""
+    return (e["kind"] == "condition") & ~e["assertion"].isin("family", "hypothetical")
+
+
+def _relatives(entities: str = "entities") -> Column:
+    return F.filter(entities, lambda e: (e["kind"] == "condition") & (e["assertion"] == "family"))
+
+
+def conditions(entities: DataFrame) -> DataFrame:
+    """Condition resources of numbered(): of the patient, and no conditional instructions."""
+    e = F.col("e")
+    return entities.where(_own(e)).select("note_id", "n", *_condition(e))
 
 
 def dropped(entities: DataFrame) -> DataFrame:
@@ -63,40 +95,33 @@ def dropped(entities: DataFrame) -> DataFrame:
 def medications(entities: DataFrame) -> DataFrame:
     """MedicationStatement resources; dosage only where the text gives one."""
     e = F.col("e")
-    a = e["attrs"]
-    needed = (e["assertion"] == "hypothetical") | F.coalesce(a["frequency"].isin("prn", "as needed"), F.lit(False))
-    quantity = F.struct(F.split_part(a["dose"], F.lit(" "), F.lit(1)).cast("double").alias("value"), F.split_part(a["dose"], F.lit(" "), F.lit(2)).alias("unit"))
-    rate = F.when(a["dose"].isNotNull(), F.array(F.struct(quantity.alias("doseQuantity"))))
-    dosage = F.struct(rate.alias("doseAndRate"), F.when(a["route"].isNotNull(), F.struct(a["route"].alias("text"))).alias("route"), a["frequency"].alias("text"), F.when(needed, F.lit(True)).alias("asNeededBoolean"))
-    some = a["dose"].isNotNull() | a["route"].isNotNull() | a["frequency"].isNotNull() | needed
-    status = F.try_element_at(literal_map(MEDICATION_STATUS), e["assertion"])
-    return entities.where(e["kind"] == "medication").select("note_id", "n", F.lit("MedicationStatement").alias("resourceType"), "id", _reference("Patient/", F.col("patient_id")).alias("subject"), status.alias("status"), _concept(e).alias("medicationCodeableConcept"), F.array(_reference("DocumentReference/", F.col("note_id"))).alias("derivedFrom"), F.when(some, F.array(dosage)).alias("dosage"))
+    return entities.where(e["kind"] == "medication").select("note_id", "n", *_medication(e))
 
 
 def allergies(entities: DataFrame) -> DataFrame:
     """AllergyIntolerance resources, active and confirmed whatever the assertion, which assertion keeps for those who ask."""
     e = F.col("e")
-    return entities.where(e["kind"] == "allergy").select("note_id", "n", F.lit("AllergyIntolerance").alias("resourceType"), "id", _reference("Patient/", F.col("patient_id")).alias("patient"), _status(ALLERGY_CLINICAL, F.lit("active")).alias("clinicalStatus"), _status(ALLERGY_VERIFICATION, F.lit("confirmed")).alias("verificationStatus"), _concept(e).alias("code"), e["assertion"].alias("assertion"))
+    return entities.where(e["kind"] == "allergy").select("note_id", "n", *_allergy(e), e["assertion"].alias("assertion"))
 
 
 def family_history(docs: DataFrame, note: str = "note_id", patient: str | None = "patient_id") -> DataFrame:
     """A FamilyMemberHistory per note that has conditions of relatives, after its other resources."""
     who = F.col(patient).cast("string") if patient else F.lit("example")
-    relatives = F.filter("entities", lambda e: (e["kind"] == "condition") & (e["assertion"] == "family"))
-    name = F.col(note).cast("string")
-    out = docs.select(name.alias("note_id"), (F.size("entities") + 1).alias("n"), who.alias("__who"), F.transform(relatives, lambda e: F.struct(_concept(e).alias("code"))).alias("condition")).where(F.size("condition") > 0)
-    return out.select("note_id", "n", F.lit("FamilyMemberHistory").alias("resourceType"), F.concat("note_id", F.lit("-fmh")).alias("id"), F.lit("completed").alias("status"), _reference("Patient/", F.col("__who")).alias("patient"), F.struct(F.lit(RELATIONSHIP).alias("text")).alias("relationship"), "condition")
+    out = docs.select(F.col(note).cast("string").alias("note_id"), (F.size("entities") + 1).alias("n"), who.alias("patient_id"), _relatives().alias("relatives")).where(F.size("relatives") > 0)
+    return out.select("note_id", "n", *_family(F.col("relatives")))
 
 
 def resources(docs: DataFrame, note: str = "note_id", patient: str | None = "patient_id") -> DataFrame:
-    """All resources as JSON (nulls left out): note_id, n, type, id, json."""
-    entities = numbered(docs, note, patient)
-
-    def as_json(df: DataFrame, *hidden: str) -> DataFrame:
-        fields = [c for c in df.columns if c not in ("note_id", "n", *hidden)]
-        return df.select("note_id", "n", F.col("resourceType").alias("type"), "id", F.to_json(F.struct(*fields)).alias("json"))
-
-    return as_json(conditions(entities)).union(as_json(medications(entities))).union(as_json(allergies(entities), "assertion")).union(as_json(family_history(docs, note, patient)))
+    """All resources as JSON (nulls left out): note_id, n, type, id, json. One pass: a row per entity, and one for the relatives."""
+    who = F.col(patient).cast("string") if patient else F.lit("example")
+    e, relatives = F.col("e"), F.col("relatives")
+    slots = docs.select(F.col(note).cast("string").alias("note_id"), who.alias("patient_id"), _relatives().alias("relatives"), F.posexplode(F.array_append("entities", F.lit(None))).alias("n", "e"))
+    slots = slots.withColumn("n", F.col("n") + 1)
+    kind = F.when(e.isNull(), F.when(F.size(relatives) > 0, "FamilyMemberHistory")).when(_own(e), "Condition").when(e["kind"] == "medication", "MedicationStatement").when(e["kind"] == "allergy", "AllergyIntolerance")
+    typed = slots.withColumn("type", kind).where("type is not null").withColumn("id", F.when(e.isNull(), F.concat("note_id", F.lit("-fmh"))).otherwise(F.concat_ws("-", "note_id", "n")))
+    bodies = {"Condition": _condition(e), "MedicationStatement": _medication(e), "AllergyIntolerance": _allergy(e), "FamilyMemberHistory": _family(relatives)}
+    json = F.coalesce(*(F.when(F.col("type") == name, F.to_json(F.struct(*fields))) for name, fields in bodies.items()))
+    return typed.select("note_id", "n", "type", "id", json.alias("json"))
 
 
 def bundles(docs: DataFrame, note: str = "note_id", patient: str | None = "patient_id") -> DataFrame:
@@ -120,15 +145,15 @@ def lint(found: DataFrame) -> DataFrame:
 
     no_code = (F.coalesce(r["code"]["text"], F.lit("")) == "") & (F.coalesce(F.size(r["code"]["coding"]), F.lit(0)) <= 0)
     rules = F.array(
-        F.when(F.coalesce(kind, F.lit("")) == "", F.lit("resource with no resourceType")),
-        F.when((kind == "Condition") & r["subject"].isNull(), F.concat(named, F.lit(": Condition.subject is required"))),
-        F.when((kind == "Condition") & no_code, F.concat(named, F.lit(": Condition.code is empty"))),
-        F.when((kind == "Condition") & (verification == "refuted") & r["clinicalStatus"].isNotNull(), F.concat(named, F.lit(": clinicalStatus present on a refuted Condition -- a condition the patient does not have cannot be 'active'"))),
-        F.when((kind == "Condition") & ~known(verification, VERIFICATIONS), F.concat(named, F.lit(": bad verificationStatus "), F.coalesce(F.concat(F.lit("'"), verification, F.lit("'")), F.lit("None")))),
-        F.when((kind == "MedicationStatement") & ~known(r["status"], MEDICATION_STATUSES), F.concat(named, F.lit(": bad MedicationStatement.status "), F.coalesce(F.concat(F.lit("'"), r["status"], F.lit("'")), F.lit("None")))),
-        F.when((kind == "MedicationStatement") & r["medicationCodeableConcept"].isNull(), F.concat(named, F.lit(": medication[x] is required"))),
-        F.when((kind == "FamilyMemberHistory") & ~known(r["status"], FAMILY_STATUSES), F.concat(named, F.lit(": bad FamilyMemberHistory.status"))),
-        F.when((kind == "FamilyMemberHistory") & r["relationship"].isNull(), F.concat(named, F.lit(": relationship is required"))),
+        F.when(F.coalesce(kind, F.lit("")) == "", F.lit("no resourceType")),
+        F.when((kind == "Condition") & r["subject"].isNull(), F.concat(named, F.lit(": a Condition needs a subject"))),
+        F.when((kind == "Condition") & no_code, F.concat(named, F.lit(": a Condition needs words or a coding"))),
+        F.when((kind == "Condition") & (verification == "refuted") & r["clinicalStatus"].isNotNull(), F.concat(named, F.lit(": refuted, and yet it has a clinicalStatus"))),
+        F.when((kind == "Condition") & ~known(verification, VERIFICATIONS), F.concat(named, F.lit(": unknown verificationStatus "), F.coalesce(F.concat(F.lit("'"), verification, F.lit("'")), F.lit("None")))),
+        F.when((kind == "MedicationStatement") & ~known(r["status"], MEDICATION_STATUSES), F.concat(named, F.lit(": unknown status of a MedicationStatement "), F.coalesce(F.concat(F.lit("'"), r["status"], F.lit("'")), F.lit("None")))),
+        F.when((kind == "MedicationStatement") & r["medicationCodeableConcept"].isNull(), F.concat(named, F.lit(": a MedicationStatement names no medication"))),
+        F.when((kind == "FamilyMemberHistory") & ~known(r["status"], FAMILY_STATUSES), F.concat(named, F.lit(": unknown status of a FamilyMemberHistory"))),
+        F.when((kind == "FamilyMemberHistory") & r["relationship"].isNull(), F.concat(named, F.lit(": a FamilyMemberHistory needs a relationship"))),
     )
     out = found.select("note_id", "id", F.from_json("json", shape).alias("r")).withColumn("problem", F.explode(F.array_compact(rules)))
     return out.select("note_id", "id", "problem")
@@ -141,8 +166,6 @@ def patient_conditions(found: DataFrame) -> DataFrame:
 
 def family_leaks(docs: DataFrame, note: str = "note_id", patient: str | None = "patient_id") -> DataFrame:
     """Conditions of relatives that are also a Condition of the patient in the same note: note_id, text."""
-    e = F.col("e")
-    entities = numbered(docs, note, patient)
-    relatives = entities.where((e["kind"] == "condition") & (e["assertion"] == "family")).select("note_id", F.lower(e["text"]).alias("text"))
-    own = conditions(entities).select("note_id", F.lower(F.col("code.text")).alias("text"))
-    return relatives.join(own, ["note_id", "text"], "left_semi")
+    own = F.transform(F.filter("entities", _own), lambda e: F.lower(e["text"]))
+    told = F.transform(_relatives(), lambda e: F.lower(e["text"]))
+    return docs.select(F.col(note).cast("string").alias("note_id"), told.alias("told"), own.alias("own")).select("note_id", F.explode(F.filter("told", lambda t: F.array_contains("own", t))).alias("text"))

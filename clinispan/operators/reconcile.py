@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clinispan import lexicon
 from clinispan.functions.sections import section_authority
 from clinispan.functions.text import let
 
@@ -20,8 +21,8 @@ POLICY = "A document that contradicts itself keeps every mention; an unresolved
 _MENTION = ("presence", "temporality", "assertion", "start", "end", "text", "section")
 
 
-def _mention(e: Column) -> Column:
-    return F.struct(*(e[n].alias(n) for n in ("concept", "experiencer", *_MENTION)), section_authority(e["section"]).alias("authority"))
+def _mention(e: Column, authority: Mapping[str, int]) -> Column:
+    return F.struct(*(e[n].alias(n) for n in ("concept", "experiencer", *_MENTION)), section_authority(e["section"], authority).alias("authority"))
 
 
 def _decision(mentions: Column) -> Column:
@@ -61,19 +62,19 @@ def _decision(mentions: Column) -> Column:
     return let(F.struct(presences.alias("presences"), F.filter(mentions, lambda m: m["authority"] == top).alias("winners")), decide)
 
 
-def with_decisions(docs: DataFrame, kinds: Sequence[str] = ("condition",)) -> DataFrame:
-    """docs (with entities and sections) with decisions, by concept, and n_concepts, n_conflicts and n_unresolved.
+def with_decisions(docs: DataFrame, kinds: Sequence[str] = ("condition",), authority: Mapping[str, int] = lexicon.SECTION_AUTHORITY) -> DataFrame:
+    """docs (with entities and sections) with decisions, by concept, n_concepts, n_conflicts and n_unresolved, and policy, what is done about conflicts. authority ranks sections.
 
     Mentions of one concept by different experiencers are different findings. Everything stays in the document's row.
     """
-    mentions = F.transform(F.filter("entities", lambda e: e["kind"].isin(*kinds)), _mention)
+    mentions = F.transform(F.filter("entities", lambda e: e["kind"].isin(*kinds)), lambda e: _mention(e, authority))
     out = docs.withColumn("__mentions", mentions)
     # Decisions of one concept follow the first mention of each experiencer, as a stable sort by concept leaves them.
     keys = F.array_distinct(F.transform("__mentions", lambda m: F.struct(m["concept"].alias("concept"), m["experiencer"].alias("experiencer"))))
     grouped = F.transform(keys, lambda k: F.filter("__mentions", lambda m: (m["concept"] == k["concept"]) & (m["experiencer"] == k["experiencer"])))
     placed = F.array_sort(F.transform(grouped, lambda g, i: F.struct(F.get(g, F.lit(0))["concept"].alias("concept"), i.alias("i"), g.alias("g"))), lambda a, b: F.when(a["concept"] < b["concept"], -1).when(a["concept"] > b["concept"], 1).otherwise(a["i"] - b["i"]))
     out = out.withColumn("decisions", F.transform(F.transform(placed, lambda x: x["g"]), _decision)).drop("__mentions")
-    return out.withColumns({"n_concepts": F.size("decisions"), "n_conflicts": F.size(F.filter("decisions", lambda d: d["conflict"])), "n_unresolved": F.size(F.filter("decisions", lambda d: d["confidence"] == "unresolved"))})
+    return out.withColumns({"n_concepts": F.size("decisions"), "n_conflicts": F.size(F.filter("decisions", lambda d: d["conflict"])), "n_unresolved": F.size(F.filter("decisions", lambda d: d["confidence"] == "unresolved")), "policy": F.lit(POLICY)})
 
 
 def decisions(docs: DataFrame, key: str = "note_id") -> DataFrame:

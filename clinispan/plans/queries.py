@@ -105,11 +105,48 @@ def gold_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.errors(evaluate.matches(_self_gold(spark, sf_dir)))
 
 
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in sentences that neither classifier has seen, one per supplier and part, with the learned and the rules' assertion. The learner trains on one per customer."""
+
+    def ids(table: str, key: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key)
+
+    model = learned.train(notes.labelled_corpus(ids("customer", "c_custkey"), "c_custkey", 5))
+    seen = ids("supplier", "s_suppkey").select((-F.col("s_suppkey")).alias("id")).union(ids("part", "p_partkey"))
+    return learned.predict(model, evaluate.rule_predictions(notes.labelled_corpus(seen, "id", 99)))
+
+
 def learned_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The learned classifier and the rules on a corpus that neither has seen."""
-    model = learned.train(notes.labelled_corpus(spark, 6000, 5))
-    test = evaluate.rule_predictions(notes.labelled_corpus(spark, 1500, 99))
-    return learned.compare(learned.predict(model, test))
+    return learned.compare(_compared(spark, sf_dir))
+
+
+def learned_bake_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.bake_off(_compared(spark, sf_dir))
+
+
+def rule_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the sentence layer by class, with the sections' results of the notes as truth."""
+    each = _layered(spark, sf_dir).select(F.explode("entities").alias("e"))
+    both = each.select(F.col("e.assertion").alias("truth"), F.when(F.col("e.section_default").isNotNull(), "present").otherwise(F.col("e.assertion")).alias("got"))
+    scores = evaluate.report(evaluate.per_class(both))
+    return scores.select("label", "support", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")))
+
+
+def fhir_lint_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the lint reports which problem in the notes' resources, each broken in one of six ways, or in none, by its number."""
+    made = fhir.resources(_layered(spark, sf_dir))
+    edits = {
+        1: F.regexp_replace("json", '"resourceType":"[A-Za-z]+",', ""),
+        2: F.regexp_replace("json", '"subject":[{][^}]*[}],', ""),
+        3: F.regexp_replace("json", '"code":"(confirmed|refuted|provisional)"', '"code":"sure"'),
+        4: F.regexp_replace("json", '"status":"[a-z-]+"', '"status":"odd"'),
+        5: F.regexp_replace("json", '"relationship":[{][^}]*[}],', ""),
+        6: F.regexp_replace("json", '"medicationCodeableConcept"', '"medication"'),
+    }
+    broken = F.col("json")
+    for k, edit in edits.items():
+        broken = F.when(F.pmod("n", F.lit(7)) == k, edit).otherwise(broken)
+    return fhir.lint(made.withColumn("json", broken)).groupBy(F.regexp_replace("problem", "^[^:]*: ", "").alias("problem")).agg(F.count("*").alias("n"))
 
 
 def queries() -> dict[str, Query]:
@@ -158,6 +195,9 @@ def queries() -> dict[str, Query]:
         "gold_confusion": gold_confusion,
         "gold_errors": gold_errors,
         "learned_comparison": learned_comparison,
+        "learned_bake_off": learned_bake_off,
+        "rule_classes": rule_classes,
+        "fhir_lint_broken": fhir_lint_broken,
     }
     for name, (columns, test) in entity.items():
         out[name] = lambda s, d, c=columns, t=test: _entities(s, d).where(t).select(*c)
