@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Rows of a key from which join_counted() doesn't shuffle them to one task.
 HOT_ROWS = 1_000
+#: Keys up to which join_counted() shuffles nothing.
+FEW_ROWS = 100_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -52,9 +54,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def join_counted(many: DataFrame, one: DataFrame, on: str | list[str], count: str, how: str = "inner") -> DataFrame:
     """many joined with the narrow table one (a row per key; count: about how many rows of many have it), inner or left.
 
-    Keys with more than HOT_ROWS rows, or with as many more as leave BROADCAST_ROWS keys at most, are joined by broadcast and the
-    rest by shuffle, so a key that a third of the rows have is dealt out as the rows lie. Both tables are read more than once.
+    With few keys all are joined by broadcast. Else keys with more than HOT_ROWS rows, or with as many more as leave BROADCAST_ROWS
+    keys at most, are, and the rest by shuffle, so a key that a third of the rows have is dealt out as the rows lie. Both tables are read more than once.
     """
+    if one.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        return many.join(F.broadcast(one), on, how)
     least = HOT_ROWS
     while (n := one.where(F.col(count) > least).count()) > BROADCAST_ROWS:
         least *= 16

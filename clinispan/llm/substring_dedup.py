@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinispan.llm import tokens
-from clinispan.llm.scratch import small, table
+from clinispan.llm.scratch import drop, join_counted, small, table
 
 #: Words in an anchor; a window of k words holds k - ANCHOR + 1 places for one. Less for k under twice as long.
 ANCHOR = 12
@@ -53,9 +54,10 @@ def _prepare(k: int, short: int):
                 n, s1, s2, text, h, at = [], [], [], [], [], []
                 for a, b in zip(w.first[:-1], w.first[1:], strict=True):
                     n.append(b - a)
-                    s1.append(tokens.sequence_hash(w.hashes[a:b]))
-                    s2.append(tokens.sequence_hash(tokens.mix(w.hashes[a:b] ^ np.uint64(0x5DEECE66D))))
                     text.append(b" ".join(w.data[w.starts[a] : w.ends[b - 1]].tobytes().split()) if b > a else b"")
+                    whole = xxhash.xxh3_128_intdigest(text[-1])
+                    s1.append(whole >> 64)
+                    s2.append(whole & 0xFFFFFFFFFFFFFFFF)
                     own = grams[a : b - short + 1] if b - a >= k else grams[:0]
                     places = winnow(own, k - short + 1)
                     h.append(tokens.signed(own[places]))
@@ -127,8 +129,8 @@ def remove_repeats(docs: DataFrame, k: int = 50) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     base = table(docs.mapInArrow(run, schema))
     whole = base.where(F.col("n_words") >= k).where("doc_id is not null")
-    first = whole.groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("s1", "s2", "low")
-    copies = table(whole.select(*_KEY).join(first, ["s1", "s2"]).where("doc_id > low").select(*_KEY).distinct())
+    first = table(whole.groupBy("s1", "s2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("s1", "s2", "low", "n"))
+    copies = table(join_counted(whole.select(*_KEY), first, ["s1", "s2"], "n").where("doc_id > low").select(*_KEY).distinct())
     own = whole.join(small(copies), _KEY, "left_anti")
     anchors = own.select(*_KEY, F.explode(F.arrays_zip("h", "at")).alias("x")).select(*_KEY, "x.h", "x.at")
     shared = table(anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h"))
@@ -136,9 +138,11 @@ def remove_repeats(docs: DataFrame, k: int = 50) -> DataFrame:
     run, schema = _near_anchors(k, short)
     texts = own.select(*_KEY, "words").join(small(hits.select(*_KEY)), _KEY, "left_semi")
     found = table(texts.join(hits, _KEY).select(*_KEY, "words", "at").mapInArrow(run, schema))
-    repeated = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1", "w2", "low")
-    starts = found.join(repeated, ["w1", "w2"]).where("doc_id > low").groupBy(*_KEY).agg(F.collect_set("start").alias("starts"))
+    repeated = table(found.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("w1", "w2", "low", "n"))
+    starts = join_counted(found, repeated, ["w1", "w2"], "n").where("doc_id > low").groupBy(*_KEY).agg(F.collect_set("start").alias("starts"))
     starts = table(starts)
+    for df in (first, shared, hits, found, repeated):
+        drop(df)
     run, schema = _cut(k)
     row = ["doc_id", "n_words", "words"]
     cut = base.join(small(starts.select(*_KEY)), _KEY, "left_semi").join(starts, _KEY).select(*row, "starts").mapInArrow(run, schema)
