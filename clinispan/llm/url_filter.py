@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinispan.llm.scratch import BROADCAST_ROWS
+from clinispan.llm import scratch
 
 #: Hexadecimal digits of the short hash that the join uses.
 PREFIX_DIGITS = 8
@@ -58,16 +58,16 @@ def judge_urls(pages: DataFrame, rules: Sequence[UrlRule], default: str = DEFAUL
     table = spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, rule_host string, rule_path string")
     table = table.withColumn("digest", F.sha2(F.concat("rule_host", F.lit("\n"), _folder(F.col("rule_path"))), 256)).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     scope = {"scope_host": F.substring_index("host", ".", -labels), "scope_path": F.substring("path", 1, reach)}
-    scopes = pages.select(*(c.alias(n) for n, c in scope.items())).distinct()
+    scopes = pages.groupBy(*(c.alias(n) for n, c in scope.items())).agg(F.count("*").alias("n_pages"))
     hosts = F.transform(F.sequence(F.lit(1), F.least(F.lit(labels), F.size(F.split("scope_host", r"\.")))), lambda n: F.call_function("substring_index", F.col("scope_host"), F.lit("."), -n))
     depth = F.least(F.lit(folders), F.size(F.split("scope_path", "/")) - 1)
     paths = F.transform(F.sequence(F.lit(0), depth), lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.call_function("substring_index", F.col("scope_path"), F.lit("/"), n), F.lit("/"))))
     expressions = scopes.withColumn("h", F.explode(hosts)).withColumn("p", F.explode(F.array_distinct(paths)))
     expressions = expressions.withColumn("full", F.sha2(F.concat("h", F.lit("\n"), "p"), 256)).withColumn("short", F.substring("full", 1, PREFIX_DIGITS))
-    rules_side = F.broadcast(table) if len(rules) <= BROADCAST_ROWS else table
+    rules_side = F.broadcast(table) if len(rules) <= scratch.BROADCAST_ROWS else table
     met = expressions.join(rules_side, "short").where("full = digest and startswith(scope_path, rule_path)")
     order = F.struct(F.length(F.concat("rule_host", "rule_path")).alias("length"), F.length("rule_host").alias("host_length"), "verdict", F.concat("rule_host", "rule_path").alias("rule"))
-    best = met.groupBy("scope_host", "scope_path").agg(F.max(order).alias("best"))
+    best = scratch.table(met.groupBy("scope_host", "scope_path").agg(F.max(order).alias("best"), F.first("n_pages").alias("n_pages")))
     kept = [c for c in pages.columns if c not in ("rule", "verdict")]
     keyed = pages.select(*kept).withColumns(scope)
-    return keyed.join(best, ["scope_host", "scope_path"], "left").select(*kept, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return scratch.join_counted(keyed, best, ["scope_host", "scope_path"], "n_pages", "left").select(*kept, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
