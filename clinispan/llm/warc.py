@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinispan.llm.scratch import scratch_path, table
+from clinispan.llm.scratch import join_counted, scratch_path, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A package is closed at this size and the task goes on with another; a range read takes about this much at most.
@@ -209,8 +209,9 @@ def write_packages(pages: DataFrame, folder: str, key: str = "page_id", url: str
     """
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.sha2("payload", 256))
-    groups = rows.where(F.length("payload") >= min_payload).groupBy("sha").agg(F.max("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    joined = rows.join(groups, "sha", "left").select("key", "url", "payload", "first")
+    groups = table(rows.where(F.length("payload") >= min_payload).groupBy("sha").agg(F.max("key").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    # Payloads stay where they are while groups are few; the payloads of a crowded group always do.
+    joined = join_counted(rows, groups, "sha", "n", "left").select("key", "url", "payload", "first")
     return table(joined.mapInArrow(_write(folder), "path string"))
 
 
