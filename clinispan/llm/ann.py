@@ -51,13 +51,10 @@ class Model:
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vector array<double>) of the rows that take part.
 
-    Left out: null ids; vectors that are null, empty, zero, or hold null or non-finite components; and those whose length
-    is not the most frequent one (of equally frequent ones, the smallest).
+    Left out: null ids; vectors that are null, empty, zero, or hold null or non-finite components.
     """
     df = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    df = df.where("vec_id is not null and vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)")
-    sizes = df.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    return df.where(F.size("vector") == (sizes["n"] if sizes else 0))
+    return df.where("vec_id is not null and vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)")
 
 
 def _nearest(x: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -200,16 +197,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, settings: Settin
 
     queries has the columns of vectors. Candidates are the rows of vectors that take part (valid_vectors), but those with the
     query's id; ties go to the smaller vec_id; a query whose vector does not take part has no rows, and one id counts as one
-    query (its least vector). Fewer than k candidates: all. Repeated rows are candidates each.
+    query (its least vector). Fewer than k candidates: all. Repeated rows are candidates each. Vectors of different lengths have no
+    distance: each length is an index of its own (a table has a few at most, one run of the jobs for each).
     """
-    spark = vectors.sparkSession
-    base = table(valid_vectors(vectors, id_col, vector_col))
-    n = base.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    length = len(base.first()["vector"])
-    asked = valid_vectors(queries, id_col, vector_col).where(F.size("vector") == length).groupBy("vec_id").agg(F.min("vector").alias("query")).withColumnRenamed("vec_id", "query_id")
-    asked = table(asked)
+    every = table(valid_vectors(vectors, id_col, vector_col).withColumn("length", F.size("vector")))
+    asked = valid_vectors(queries, id_col, vector_col).groupBy("vec_id", F.size("vector").alias("length")).agg(F.min("vector").alias("query"))
+    asked = table(asked.withColumn("first", F.expr("row_number() over (partition by vec_id order by query)")).where("first = 1").select(F.col("vec_id").alias("query_id"), "query", "length"))
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for length, n in sorted((r["length"], r["count"]) for r in every.groupBy("length").count().collect()):
+        own = asked.where(F.col("length") == length).drop("length")
+        out = out.union(_search_length(every.where(F.col("length") == length).drop("length"), own, n, k, settings))
+    return out
+
+
+def _search_length(base: DataFrame, asked: DataFrame, n: int, k: int, settings: Settings) -> DataFrame:
+    """search() among the n vectors of base (vec_id, vector), all of one length, for asked (query_id, query)."""
+    spark = base.sparkSession
     held = spark.sparkContext.broadcast(fit(base, n, settings))
     rows = table(base.mapInArrow(_encode(held, settings.width), _ROW))
     sizes = np.zeros(len(held.value.centroids), dtype=np.int64)
