@@ -22,14 +22,14 @@ UNDECIDED = "und"
 class Settings:
     """Bounds of the training sample, and the margin.
 
-    sample: documents that may be sampled for a language; dictionary: bytes of its dictionary, at most; languages: learned
-    languages, at most; level: compression level; block: bytes compressed at a time; margin: relative to the second smallest size, below which a text
-    is rejected. What is broadcast is at most languages * dictionary bytes.
+    sample: documents that may be sampled for a language; dictionary: bytes of its dictionary, at most; total: bytes of all dictionaries, at
+    most (with more languages each gets less, and none is left out); level: compression level; block: bytes compressed at a time; margin:
+    relative to the second smallest size, below which a text is rejected.
     """
 
     sample: int = 400
     dictionary: int = 1 << 16
-    languages: int = 256
+    total: int = 1 << 24
     level: int = 6
     block: int = 8192
     margin: float = 0.002
@@ -44,23 +44,23 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, byt
     """The dictionary of each language of labelled (text string, lang string), from a sample that repeats from run to run.
 
     Rows with a null lang or without text are left out. Texts are sampled by their hash, so copies count once, and
-    follow each other whole until the dictionary is full.
+    follow each other until the dictionary is full, each as far as it could fill one. No labelled rows give no dictionary.
     """
     rows = labelled.where("lang is not null and length(text) > 0").select("lang", "text").withColumn("h", F.xxhash64("text"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages + 1).collect()
-    if len(sizes) > settings.languages:
-        raise ValueError(f"more than {settings.languages} languages")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return {}
+    size = min(settings.dictionary, settings.total // len(sizes))
     #: Twice the wanted share of each language by a threshold of the hash, so that the exact pick sorts a bounded rest.
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2 * settings.sample / r["n"]))))
     few = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     few = few.dropDuplicates(["lang", "h"]).withColumn("rank", F.expr("row_number() over (partition by lang order by h)")).where(F.col("rank") <= settings.sample)
     found: dict[str, list[bytes]] = {}
-    for r in few.orderBy("lang", "rank").select("lang", "text").toLocalIterator():
-        if sum(map(len, found.setdefault(r["lang"], []))) < settings.dictionary:
+    # As many characters of a text as its dictionary has bytes, at most, come to the driver.
+    for r in few.orderBy("lang", "rank").select("lang", F.substring("text", 1, size).alias("text")).toLocalIterator():
+        if sum(map(len, found.setdefault(r["lang"], []))) < size:
             found[r["lang"]].append(normal(r["text"]))
-    return {lang: b"\n".join(texts)[: settings.dictionary] for lang, texts in found.items()}
+    return {lang: b"\n".join(texts)[:size] for lang, texts in found.items()}
 
 
 def _classify(dictionaries: dict[str, bytes], settings: Settings):

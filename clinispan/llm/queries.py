@@ -62,8 +62,8 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
-    learned = language_id.train(docs.where(~F.coalesce("held_out", F.lit(False))))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+    learned = language_id.train(docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
     return language_id.identify(docs.select("doc_id", "held_out", "text"), learned).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
