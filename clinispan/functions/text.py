@@ -69,6 +69,8 @@ def positions(text: Column, phrase: Column, word: str) -> Column:
 
 def table_of(rows: Sequence[tuple], names: Sequence[str]) -> Column:
     """A literal array of structs, folded once for the whole query."""
+    if not rows:
+        return F.array().cast(f"array<struct<{', '.join(f'{n}:string' for n in names)}>>")
     return F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(row, names, strict=True))) for row in rows))
 
 

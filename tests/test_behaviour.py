@@ -1,11 +1,13 @@
 """What the engine does with particular constructions, documents and resources."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from clinispan.functions import context
+from clinispan import lexicon
+from clinispan.functions import context, text
 from clinispan.operators import extract, fhir, learned, evaluate, reconcile
 from clinispan.plans import reports
 from clinispan.sources import notes
@@ -114,5 +116,53 @@ def test_reports(spark, tmp_path):
     made = reports.evaluation(notes.gold(spark, [("No asthma.", [("asthma", "condition", "absent")]), ("Fever.", [("fever", "condition", "absent")])]))
     made = {k: made[k] for k in ("score", "leakage", "mapping")}
     reports.write(made, str(tmp_path))
-    text = reports.markdown(spark, made, str(tmp_path))
-    assert "## score" in text and "| 2 | 1 |" in text
+    shown = reports.markdown(spark, made, str(tmp_path))
+    assert "## score" in shown and "| 2 | 1 |" in shown
+
+
+def plain_terms(low, entries):
+    """Dictionary matches as the docstring has them: longer phrases first, each left to right, none over one that is taken."""
+    edge = set("abcdefghijklmnopqrstuvwxyz0123456789")
+    taken = []
+    for phrase, concept in sorted(entries, key=lambda x: -len(x[0])):
+        at = 0
+        while (at := low.find(phrase, at)) >= 0:
+            end = at + len(phrase)
+            if (at == 0 or low[at - 1] not in edge) and (end == len(low) or low[end] not in edge):
+                if all(end <= s or e <= at for s, e, _ in taken):
+                    taken.append((at, end, concept))
+                at = end
+            else:
+                at += 1
+    return sorted(taken)
+
+
+def test_terms_that_overlap_and_touch(spark):
+    """Chains of overlapping phrases, double spaces, digits, and letters that are not ASCII."""
+    rng = random.Random(4)
+    entries = lexicon.pairs(lexicon.CONDITION_TERMS)
+    parts = [p for p, _ in entries] + ["type 2", "mellitus", "diabetes mellitus", "acquired", "community", "é", "x", "2", ",", "-", "heart"]
+    texts = ["".join(rng.choice(parts) + rng.choice((" ", "  ", "", "-", ", ")) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, low string")
+    got = df.select("i", text.terms(F.col("low"), text.dictionary(entries)).alias("t")).collect()
+    assert all([tuple(x) for x in r["t"]] == plain_terms(texts[r["i"]], entries) for r in got)
+    assert sum(len(r["t"]) for r in got) > 500
+
+
+def test_sentences_at_odd_places(spark):
+    """Repeated spaces, abbreviations, letters that are not ASCII and sentences that repeat have the offsets of their own place."""
+    odd = "Seen by Dr. Lee.  Fever.   Fever.\n\n\tÉlan vital!\u00a0 q.d. dosing; no. more"
+    (row,) = spark.createDataFrame([(odd,)], "t string").select(text.sentences(F.col("t")).alias("s")).collect()
+    assert [s["text"].strip() for s in row["s"]] == ["Seen by Dr. Lee.", "Fever.", "Fever.", "Élan vital!", "q.d. dosing;", "no.", "more"]
+    assert all(odd[s["start"] : s["end"]] == s["text"] for s in row["s"])
+    starts = [s["start"] for s in row["s"]]
+    assert starts == sorted(set(starts))
+
+
+def test_tables_of_ones_own(spark):
+    df = spark.createDataFrame([("n", "PLAN: no gout.\nODD: gout.")], "note_id string, text string")
+    own = {"condition": {"gout": ("gout",)}, "medication": {}, "allergy": {}}
+    docs = extract.with_sections(extract.with_entities(df, dictionaries=own, terminologies={"condition": ("OWN", {"gout": ("1", "Gout")})}), defaults={"assessment_and_plan": "historical"})
+    row = reconcile.with_decisions(docs, authority={"assessment_and_plan": 5}).first()
+    assert [(e["concept"], e["assertion"], e["code"]) for e in row["entities"]] == [("gout", "absent", "1"), ("gout", "historical", "1")]
+    assert row["policy"] == reconcile.POLICY and row["n_conflicts"] == 1

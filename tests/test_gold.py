@@ -4,6 +4,7 @@ import ast
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from clinispan.operators import evaluate
 from clinispan.sources import notes
@@ -55,3 +56,39 @@ def test_own_cases_score(spark):
     assert {(r["case_id"], r["outcome"]) for r in evaluate.errors(evaluate.matches(found)).collect()} == {(1, "wrong_assertion"), (2, "spurious"), (3, "missed")}
     confusion = {r["true_assertion"]: r for r in evaluate.confusion(evaluate.matches(found)).collect()}
     assert confusion["absent"]["present"] == 1 and confusion["absent"]["absent"] == 1
+
+
+#: Own cases: text, and (concept, kind, assertion) of each finding as a reader would have it.
+OWN = [
+    ("No asthma.", [("asthma", "condition", "absent")]),
+    ("Denies chest pain but reports cough.", [("chest_pain", "condition", "absent"), ("cough", "condition", "present")]),
+    ("History of stroke.", [("stroke", "condition", "historical")]),
+    ("Mother with breast cancer.", [("breast_cancer", "condition", "family")]),
+    ("Possible pneumonia.", [("pneumonia", "condition", "possible")]),
+    ("Return if fever.", [("fever", "condition", "hypothetical")]),
+    ("Sepsis was ruled out.", [("sepsis", "condition", "absent")]),
+    ("Tired, and anemia.", [("anemia", "condition", "present")]),
+    ("Takes metformin 500 mg po daily.", [("metformin", "medication", "present")]),
+    ("No increase in dyspnea.", [("dyspnea", "condition", "present")]),
+    ("Without fever, however has cellulitis.", [("fever", "condition", "absent"), ("cellulitis", "condition", "present")]),
+    ("Father had colon cancer and sister has asthma.", [("colon_cancer", "condition", "family"), ("asthma", "condition", "family")]),
+    ("Never any DVT.", [("dvt", "condition", "absent")]),
+    ("Allergic to penicillin.", [("penicillin", "allergy", "present")]),
+    ("Well today.", []),
+    ("Likely UTI.", [("uti", "condition", "possible")]),
+    ("UTI doubtful.", [("uti", "condition", "possible")]),
+    ("Gout flare.", [("gout", "condition", "present")]),
+]
+
+
+def test_own_gold_has_the_scores_it_had(spark):
+    """Two phrasings that no trigger lists and a disease that no dictionary has are what the rules get wrong."""
+    found = evaluate.predicted(notes.gold(spark, OWN)).cache()
+    s = evaluate.score(found).first()
+    assert (s["n_cases"], s["exact_case_match"], s["tp_exact"], s["tp_relaxed"], s["fp"], s["fn"]) == (18, 15, 17, 19, 0, 1)
+    wrong = evaluate.errors(evaluate.matches(found))
+    causes = spark.createDataFrame([("wrong_assertion", "absent", "lexicon", "no such trigger"), ("missed", None, "dictionary", "no such term")], "outcome string, expected string, category string, cause string")
+    got = {(r["case_id"], r["outcome"]): r["category"] for r in evaluate.categorised(evaluate.matches(found), causes).collect()}
+    assert got == {(12, "wrong_assertion"): "lexicon", (16, "wrong_assertion"): None, (17, "missed"): None} and wrong.count() == 3
+    classes = evaluate.distinct_classes(found.select("expected.assertion").select(F.explode("assertion").alias("expected")), "expected").first()
+    assert classes["expected_classes"] == 6
