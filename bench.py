@@ -1,4 +1,4 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one warm-up, best of three, the first query again at the end for the drift.
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one warm-up, best of three (of one for queries of over 10 s), the first query again at the end for the drift.
 
 Prints one line of JSON at the end, and each query's time on stderr as it ends; $BENCH_OUT names a file that gets the JSON too. value is
 the sum of the best times; sentences_per_sec is the flagship's rate over the notes of all customers.
@@ -22,6 +22,8 @@ from clinispan.sources import notes  # noqa: E402
 HEADLINE = ("entity_axes", "sentences", "med_attrs", "section_defaults", "reconcile_rows", "fhir_conditions", "batch_results")
 #: Published for one core.
 REFERENCE_SENTENCES_PER_SEC = 480
+#: Seconds from which a query runs once.
+LONG_S = 10
 
 
 def main() -> None:
@@ -44,9 +46,11 @@ def main() -> None:
         return time.perf_counter() - began
 
     best = {}
+    timed(HEADLINE[1])
     for name in HEADLINE:
-        timed(name)
-        best[name] = min(timed(name) for _ in range(3))
+        best[name] = timed(name)
+        if best[name] < LONG_S:
+            best[name] = min(best[name], *(timed(name) for _ in range(2)))
         print(f"{name} {best[name]:.3f}", file=sys.stderr, flush=True)
     again = timed(HEADLINE[0])
     n = views.sentences(notes.customer_notes(spark, sf_dir)).count()

@@ -109,7 +109,7 @@ def notes_sql(table: str, key: str, patient: str) -> str:
 
 def _spread(ids: DataFrame) -> DataFrame:
     """ids dealt out to all cores: a few bytes of each make a note that takes a thousand times as long to work on as to move."""
-    return ids.repartition(ids.sparkSession.sparkContext.defaultParallelism * 2)
+    return ids.repartition(ids.sparkSession.sparkContext.defaultParallelism)
 
 
 def customer_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
