@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinispan.llm import ann, fingerprints, language_id, line_dedup, mixing, ngram_join, packing, substring_dedup, url_filter, warc
+from clinispan.llm import ann, delta_lloyd, embedding_join, fingerprints, language_id, line_dedup, merkle, mixing, ngram_join, packing, substring_dedup, url_filter, warc
 
 #: The rules of the URL query: fixed values.
 URL_RULES = (
@@ -71,8 +71,24 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_classes(_read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.cluster(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    original, tampered = (merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text")) for n in (F.col("n_chars"), more))
+    found = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, tampered).otherwise(original)
+    return merkle.manifest(docs, original, found)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_nearest_neighbours, op2_warc_packages, op3_best_fit_packing, op4_line_dedup, op5_source_mixing, op6_substring_dedup, op7_url_filter, op8_document_fingerprints, op9_language_id, op10_ngram_jaccard_join)
+    ops = (op1_nearest_neighbours, op2_warc_packages, op3_best_fit_packing, op4_line_dedup, op5_source_mixing, op6_substring_dedup, op7_url_filter, op8_document_fingerprints, op9_language_id, op10_ngram_jaccard_join, op11_embedding_near_dedup, op12_delta_lloyd, op13_merkle_manifest)
     return {f.__name__: f for f in ops}
 
 
