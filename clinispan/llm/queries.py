@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinispan.llm import ann, delta_lloyd, embedding_join, fingerprints, language_id, line_dedup, merkle, mixing, ngram_join, packing, substring_dedup, url_filter, warc
+from clinispan.llm import ann, delta_lloyd, embedding_join, fingerprints, language_id, line_dedup, merkle, mixing, ngram_join, packing, statements, substring_dedup, url_filter, warc
 
 #: The rules of the URL query: fixed values.
 URL_RULES = (
@@ -117,4 +117,4 @@ select page_id, payload_bytes, payload_digest, case when page_id = last then 're
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_packages": _OP2_SQL, "op7_url_filter": _OP7_SQL}
+    return {"op2_warc_packages": _OP2_SQL, "op7_url_filter": _OP7_SQL, "op11_embedding_near_dedup": statements.OP11, "op12_delta_lloyd": statements.op12(), "op13_merkle_manifest": statements.OP13}
