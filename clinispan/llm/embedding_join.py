@@ -29,7 +29,8 @@ _LENGTHS, _LONGEST = 8, 1024
 _PACK = "length int, block int, leaf int, n int, nodes binary, copies binary, home binary, rotated binary, vectors binary"
 _FOUND = "node long, links long, other long"
 _FOUND_ARROW = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
-_CHUNK = 256
+#: Pairs that are compared at once.
+_CHUNK = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ class Settings:
     sample: int = 20_000
     leaf: int = 8_192
     depth: int = 12
-    part: int = 4_096
+    part: int = 16_384
     seed: int = 23
 
 
@@ -76,30 +77,47 @@ class Cell:
     above: Cell | None = None
 
 
-def _halved(x: np.ndarray, depth: int, first: int = 0) -> Cell:
-    axis = int(x.var(0).argmax()) if len(x) else -1
-    split = int(np.median(x[:, axis])) if len(x) else 0
-    low = x[:, axis] < split if len(x) else np.zeros(0, bool)
-    if not depth or not low.any() or low.all():
-        return Cell(first)
-    return Cell(first, axis, split, _halved(x[low], depth - 1, first), _halved(x[~low], depth - 1, first + (1 << (depth - 1))))
+#: Share of a cell's work that halving it must leave at most to be worth the copies. Vectors that fill their space evenly keep one cell.
+_WORTH = 0.8
 
 
-def _reached(cell: Cell, x: np.ndarray, bound: int, at: np.ndarray | None = None, home: np.ndarray | None = None, gap: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _split(axis: int, split: int, x: np.ndarray, bound: int, at: np.ndarray, home: np.ndarray, gap: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each half of a cell: the rows of x that are in it or within the bound of it, which are in it, and their gaps to it by axis."""
+    off, out = x[at, axis].astype(np.int64) - split, []
+    for inside in (off < 0, off >= 0):
+        there = gap.copy()
+        there[~inside, axis] = np.maximum(there[~inside, axis], np.abs(off[~inside]))
+        some = (there * there).sum(1) <= bound
+        out.append((at[some], (home & inside)[some], there[some]))
+    return out
+
+
+def _start(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.arange(len(x)), np.ones(len(x), bool), np.zeros(x.shape, np.int64)
+
+
+def _halved(x: np.ndarray, bound: int, depth: int, first: int, at: np.ndarray, home: np.ndarray, gap: np.ndarray) -> tuple[Cell, float]:
+    """A cell, halved where that leaves less to compare, and what is left: vectors at home with all that are in reach, of two at home one with the other."""
+    own = x[at[home]]
+    whole = float(len(own)) * len(at) - len(own) ** 2 / 2
+    if not depth or len(own) < 8:
+        return Cell(first), whole
+    axis = int(own.var(0).argmax())
+    split = int(np.median(own[:, axis]))
+    halves = _split(axis, split, x, bound, at, home, gap)
+    (below, less), (above, more) = (_halved(x, bound, depth - 1, first + i * (1 << (depth - 1)), *half) for i, half in enumerate(halves))
+    return (Cell(first, axis, split, below, above), less + more) if less + more <= _WORTH * whole else (Cell(first), whole)
+
+
+def _reached(cell: Cell, x: np.ndarray, bound: int, at: np.ndarray, home: np.ndarray, gap: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The leaves, the rows of x that are in each or within the bound of it, and which of them are in it."""
-    if at is None:
-        at, home, gap = np.arange(len(x)), np.ones(len(x), bool), np.zeros(x.shape, np.int64)
     if not len(at):
         return
     if cell.axis < 0:
         yield cell.number, at, home
         return
-    off = x[at, cell.axis].astype(np.int64) - cell.split
-    for side, inside in ((cell.below, off < 0), (cell.above, off >= 0)):
-        there = gap.copy()
-        there[~inside, cell.axis] = np.maximum(there[~inside, cell.axis], np.abs(off[~inside]))
-        some = (there * there).sum(1) <= bound
-        yield from _reached(side, x, bound, at[some], (home & inside)[some], there[some])
+    for side, half in zip((cell.below, cell.above), _split(cell.axis, cell.split, x, bound, at, home, gap), strict=True):
+        yield from _reached(side, x, bound, *half)
 
 
 @dataclass(frozen=True)
@@ -121,12 +139,13 @@ def fit(classes: DataFrame, settings: Settings) -> Model:
         own = picked.filter(pc.equal(picked.column("length"), length)).column("vector").combine_chunks()
         x = _rotated(np.asarray(own.flatten()).reshape(len(own), length), rotations[length]) if len(own) else np.zeros((0, length), np.int16)
         depth = min(settings.depth, int(np.ceil(np.log2(max(1, n / settings.leaf)))))
-        cells[length] = [_halved(x[:, block], depth) for block, _ in _blocks(length, settings)]
+        cells[length] = [_halved(x[:, block], bound, depth, 0, *_start(x[:, block]))[0] for block, bound in _blocks(length, settings)]
     return Model(rotations, cells)
 
 
 def _deal(held, settings: Settings, kind: type):
     """For each block and cell, the vectors in it and near it, packed."""
+    size = max(1, settings.part // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
@@ -139,9 +158,9 @@ def _deal(held, settings: Settings, kind: type):
                 q = _rotated(x, model.rotations.get(length))
                 for j, (block, bound) in enumerate(_blocks(int(length), settings)):
                     cell = model.cells[length][j] if length in model.cells else Cell()
-                    for leaf, at, home in _reached(cell, q[:, block], bound):
-                        for i in range(0, len(at), max(1, settings.part // 4)):
-                            some, in_it = at[i : i + settings.part // 4], home[i : i + settings.part // 4]
+                    for leaf, at, home in _reached(cell, q[:, block], bound, *_start(q[:, block])):
+                        for i in range(0, len(at), size):
+                            some, in_it = at[i : i + size], home[i : i + size]
                             packed = [c.tobytes() for c in (nodes[some], copies[some], in_it, q[some], x[some])]
                             row = [pa.array([v], t) for v, t in zip((length, j, leaf, len(some)), (pa.int32(),) * 4, strict=True)] + [pa.array([p], pa.binary()) for p in packed]
                             yield pa.RecordBatch.from_arrays(row, names=["length", "block", "leaf", "n", "nodes", "copies", "home", "rotated", "vectors"])
@@ -206,8 +225,9 @@ def _pair_up(settings: Settings, kind: type):
         label, edges = nodes.copy(), []
         # Pairs of which neither is at home here count elsewhere.
         for start, stop, cols in ((0, x.n_home, np.arange(len(y.nodes))), (x.n_home, len(x.nodes) if x is not y else 0, np.arange(y.n_home))):
-            for i in range(start, stop, _CHUNK):
-                rows, some, links = linked(x, y, np.arange(i, min(i + _CHUNK, stop)), cols, block, blocks)
+            step = max(1, _CHUNK // max(1, len(cols)))
+            for i in range(start, stop, step):
+                rows, some, links = linked(x, y, np.arange(i, min(i + step, stop)), cols, block, blocks)
                 if not len(rows):
                     continue
                 x.links[rows] += links @ y.copies[some]

@@ -78,6 +78,22 @@ def test_near_duplicates_of_floats(spark):
     assert sum(not r["kept"] for r in got) > 30
 
 
+def test_clustered_vectors_are_joined_cell_by_cell(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 24))
+    x = [c + rng.normal(size=24) * rng.choice([0.02, 0.1]) for c in centres for _ in range(40)]
+    rows = [(i, [float(v) for v in w]) for i, w in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    settings = embedding_join.Settings(similarity=0.985, width=6, leaf=20, part=32)
+
+    def leaves(cell):
+        return 1 if cell.axis < 0 else leaves(cell.below) + leaves(cell.above)
+
+    model = embedding_join.fit(df.select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector"), F.lit(24).alias("length")), settings)
+    assert min(leaves(c) for c in model.cells[24]) > 2
+    assert sorted(tuple(r) for r in embedding_join.near_duplicate_vectors(df, settings).collect()) == sorted(plain_links(rows, 0.985))
+
+
 def plain_lloyd(rows, s):
     kept = [(i, [math.floor(x * s.scale) for x in v]) for i, v in rows if v is not None and len(v) == s.length and all(x is not None and math.isfinite(x) and abs(x) <= delta_lloyd.GREATEST for x in v)]
     first = sorted((hashlib.sha256(f"{s.seed}:{i}".encode()).hexdigest(), q) for i, q in kept if i is not None)[: s.k]
