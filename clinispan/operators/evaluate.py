@@ -26,7 +26,7 @@ def matches(cases: DataFrame) -> DataFrame:
     def side(column: str, wanted: bool) -> Column:
         return F.transform(column, lambda x, i: F.struct(F.lit(wanted).alias("wanted"), i.alias("ord"), *(x[n].alias(n) for n in _KEY)))
 
-    each = cases.select("case_id", F.inline(F.concat(side("expected", True), side("entities", False))))
+    each = cases.select("case_id", F.inline_outer(F.concat(side("expected", True), side("entities", False)))).where("wanted is not null")
     place = Window.partitionBy("case_id", *_KEY, "wanted").orderBy("ord")
     pair = Window.partitionBy("case_id", *_KEY, "k")
     paired = each.withColumn("k", F.row_number().over(place)).withColumn("exact", F.count("*").over(pair) == 2)
@@ -133,7 +133,7 @@ def rule_predictions(rows: DataFrame) -> DataFrame:
 
 def rows_from_gold(gold: DataFrame) -> DataFrame:
     """Condition spans that the rules find in gold cases, with the first assertion that the case expects for the concept."""
-    spans = extract.with_entities(gold).select("case_id", "text", "expected", F.posexplode("entities").alias("ord", "e")).where("e.kind = 'condition'")
+    spans = extract.with_entities(gold).select("case_id", "text", "expected", F.posexplode_outer("entities").alias("ord", "e")).where("e.kind = 'condition'")
     first = F.get(F.filter("expected", lambda x: (x["concept"] == F.col("e.concept")) & (x["kind"] == "condition")), F.lit(0))["assertion"]
     rows = spans.withColumn("assertion", first).where("assertion is not null")
     return rows.select((F.col("case_id") * 1000 + F.col("ord")).cast("long").alias("id"), "text", "e.start", "e.end", "e.concept", "assertion")

@@ -41,7 +41,7 @@ def _reference(prefix: str, value: Column) -> Column:
 def numbered(docs: DataFrame, note: str = "note_id", patient: str | None = "patient_id") -> DataFrame:
     """A row per entity e of docs: note_id, patient_id ('example' without one), n (from 1, over all entities of the note) and its resource id."""
     who = F.col(patient).cast("string") if patient else F.lit("example")
-    out = docs.select(F.col(note).cast("string").alias("note_id"), who.alias("patient_id"), F.posexplode("entities").alias("n", "e"))
+    out = docs.select(F.col(note).cast("string").alias("note_id"), who.alias("patient_id"), F.posexplode_outer("entities").alias("n", "e")).where("e is not null")
     return out.withColumn("n", F.col("n") + 1).withColumn("id", F.concat_ws("-", "note_id", "n"))
 
 
@@ -115,7 +115,7 @@ def resources(docs: DataFrame, note: str = "note_id", patient: str | None = "pat
     """All resources as JSON (nulls left out): note_id, n, type, id, json. One pass: a row per entity, and one for the relatives."""
     who = F.col(patient).cast("string") if patient else F.lit("example")
     e, relatives = F.col("e"), F.col("relatives")
-    slots = docs.select(F.col(note).cast("string").alias("note_id"), who.alias("patient_id"), _relatives().alias("relatives"), F.posexplode(F.array_append("entities", F.lit(None))).alias("n", "e"))
+    slots = docs.select(F.col(note).cast("string").alias("note_id"), who.alias("patient_id"), _relatives().alias("relatives"), F.posexplode_outer(F.array_append("entities", F.lit(None))).alias("n", "e"))
     slots = slots.withColumn("n", F.col("n") + 1)
     kind = F.when(e.isNull(), F.when(F.size(relatives) > 0, "FamilyMemberHistory")).when(_own(e), "Condition").when(e["kind"] == "medication", "MedicationStatement").when(e["kind"] == "allergy", "AllergyIntolerance")
     typed = slots.withColumn("type", kind).where("type is not null").withColumn("id", F.when(e.isNull(), F.concat("note_id", F.lit("-fmh"))).otherwise(F.concat_ws("-", "note_id", "n")))
@@ -155,7 +155,7 @@ def lint(found: DataFrame) -> DataFrame:
         F.when((kind == "FamilyMemberHistory") & ~known(r["status"], FAMILY_STATUSES), F.concat(named, F.lit(": unknown status of a FamilyMemberHistory"))),
         F.when((kind == "FamilyMemberHistory") & r["relationship"].isNull(), F.concat(named, F.lit(": a FamilyMemberHistory needs a relationship"))),
     )
-    out = found.select("note_id", "id", F.from_json("json", shape).alias("r")).withColumn("problem", F.explode(F.array_compact(rules)))
+    out = found.select("note_id", "id", F.from_json("json", shape).alias("r")).withColumn("problem", F.explode_outer(F.array_compact(rules))).where("problem is not null")
     return out.select("note_id", "id", "problem")
 
 
@@ -168,4 +168,4 @@ def family_leaks(docs: DataFrame, note: str = "note_id", patient: str | None = "
     """Conditions of relatives that are also a Condition of the patient in the same note: note_id, text."""
     own = F.transform(F.filter("entities", _own), lambda e: F.lower(e["text"]))
     told = F.transform(_relatives(), lambda e: F.lower(e["text"]))
-    return docs.select(F.col(note).cast("string").alias("note_id"), told.alias("told"), own.alias("own")).select("note_id", F.explode(F.filter("told", lambda t: F.array_contains("own", t))).alias("text"))
+    return docs.select(F.col(note).cast("string").alias("note_id"), told.alias("told"), own.alias("own")).select("note_id", F.explode_outer(F.filter("told", lambda t: F.array_contains("own", t))).alias("text")).where("text is not null")

@@ -79,7 +79,7 @@ def with_decisions(docs: DataFrame, kinds: Sequence[str] = ("condition",), autho
 
 def decisions(docs: DataFrame, key: str = "note_id") -> DataFrame:
     """A row per decision of docs (with_decisions)."""
-    return docs.select(key, F.inline("decisions"))
+    return docs.select(key, F.inline_outer("decisions")).where("concept is not null")
 
 
 def rows(docs: DataFrame, key: str = "note_id", include_unresolved: bool = False) -> DataFrame:

@@ -126,7 +126,7 @@ def learned_bake_off(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the sentence layer by class, with the sections' results of the notes as truth."""
-    each = _layered(spark, sf_dir).select(F.explode("entities").alias("e"))
+    each = _layered(spark, sf_dir).select(F.explode_outer("entities").alias("e")).where("e is not null")
     both = each.select(F.col("e.assertion").alias("truth"), F.when(F.col("e.section_default").isNotNull(), "present").otherwise(F.col("e.assertion")).alias("got"))
     scores = evaluate.report(evaluate.per_class(both))
     return scores.select("label", "support", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")))
@@ -177,7 +177,7 @@ def queries() -> dict[str, Query]:
         "reconcile_rows": lambda s, d: reconcile.rows(_decided(s, d)),
         "reconcile_all_rows": lambda s, d: reconcile.rows(_decided(s, d), include_unresolved=True),
         "reconcile_counts": lambda s, d: _decided(s, d).where("n_concepts > 0").select("note_id", *(F.col(c).cast("long").alias(c) for c in ("n_concepts", "n_conflicts", "n_unresolved"))),
-        "reconcile_disagreements": lambda s, d: reconcile.decisions(_decided(s, d)).select("note_id", "concept", "experiencer", F.explode("disagreement").alias("x")).select("note_id", "concept", "experiencer", "x.section", "x.presence"),
+        "reconcile_disagreements": lambda s, d: reconcile.decisions(_decided(s, d)).select("note_id", "concept", "experiencer", F.explode_outer("disagreement").alias("x")).where("x is not null").select("note_id", "concept", "experiencer", "x.section", "x.presence"),
         "fhir_conditions": fhir_conditions,
         "fhir_medications": fhir_medications,
         "fhir_allergies": fhir_allergies,

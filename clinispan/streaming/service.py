@@ -83,7 +83,7 @@ def results(checked: DataFrame) -> DataFrame:
 
     Sections are found either way; findings take their section's assertion unless the request says otherwise. No shuffle, so it runs on a stream as on a table.
     """
-    docs = checked.where("status = 200").select("request_id", "want_sections", "want_fhir", "want_reconcile", F.inline("documents"))
+    docs = checked.where("status = 200").select("request_id", "want_sections", "want_fhir", "want_reconcile", F.inline_outer("documents")).where("ord is not null")
     out = reconcile.with_decisions(extract.extract_documents(docs))
     plain = F.transform("entities", lambda e: F.when(F.col("want_sections") | e["section_default"].isNull(), e).otherwise(e.withField("assertion", F.lit("present")).withField("section_default", F.lit(None).cast("string"))))
     ok = F.col("text").isNotNull()
