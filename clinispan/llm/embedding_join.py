@@ -30,7 +30,7 @@ _PACK = "length int, block int, leaf int, n int, nodes binary, copies binary, ho
 _FOUND = "node long, links long, other long"
 _FOUND_ARROW = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 #: Pairs that are compared at once.
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -193,23 +193,17 @@ def _pair_up(settings: Settings, kind: type):
     """Links between two parts of a cell (or in one): how many each vector at home has, and edges that connect what they connect."""
     least = settings.similarity
 
-    def linked(x: _Side, y: _Side, rows: np.ndarray, cols: np.ndarray, block: int, blocks: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of pairs of rows and cols: the rows and cols that have a link, and which."""
-
-        def within(k: int) -> np.ndarray:
+    def linked(x: _Side, y: _Side, rows: np.ndarray, cols: np.ndarray, mask: np.ndarray, block: int, blocks: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs of mask between rows and cols: the rows and cols that have a link, and which."""
+        for k in (block, *range(block)):
+            rows, cols, mask = _where(rows, cols, mask)
+            if not len(rows):
+                return rows, cols, mask
             part, bound = blocks[k]
-            return _apart(x.q[rows, part], y.q[cols, part]) <= bound
-
-        mask = within(block)
+            mask &= (_apart(x.q[rows, part], y.q[cols, part]) <= bound) == (k == block)
         if x is y:
             mask[rows[:, None] == cols] = False
         rows, cols, mask = _where(rows, cols, mask)
-        for k in range(block):
-            if not len(rows):
-                break
-            rows, cols, mask = _where(rows, cols, mask & ~within(k))
-        if not len(rows):
-            return rows, cols, mask
         cosine = x.unit[rows] @ y.unit[cols].T
         near = cosine >= least
         for i, j in np.argwhere(mask & (np.abs(cosine - least) < 1e-12)):
@@ -220,14 +214,22 @@ def _pair_up(settings: Settings, kind: type):
         length, block, _, low, high = (k.as_py() for k in key)
         sides = [_Side(packs.filter(pc.equal(packs.column("part"), p)), length, kind) for p in ((low,) if low == high else (low, high))]
         x, y, blocks = sides[0], sides[-1], _blocks(length, settings)
+        part, bound = blocks[block]
+        # Squared distances as one product in single precision, which passes over few that are near and rounds none of these away.
+        rough = [_outer(s.q[:, part].astype(np.float32), left) for s, left in ((x, True), (y, False))]
+        limit = np.float32(bound * 1.001 + 1e-5 * 4 * _STEPS**2)
         nodes = np.unique(np.concatenate([x.nodes, y.nodes]))
         at = [np.searchsorted(nodes, s.nodes) for s in (x, y)]
         label, edges = nodes.copy(), []
         # Pairs of which neither is at home here count elsewhere.
-        for start, stop, cols in ((0, x.n_home, np.arange(len(y.nodes))), (x.n_home, len(x.nodes) if x is not y else 0, np.arange(y.n_home))):
-            step = max(1, _CHUNK // max(1, len(cols)))
+        for start, stop, end in ((0, x.n_home, len(y.nodes)), (x.n_home, len(x.nodes) if x is not y else 0, y.n_home)):
+            step = max(1, _CHUNK // max(1, end))
             for i in range(start, stop, step):
-                rows, some, links = linked(x, y, np.arange(i, min(i + step, stop)), cols, block, blocks)
+                to = min(i + step, stop)
+                mask = rough[0][i:to] @ rough[1][:, :end] <= limit
+                if not mask.any():
+                    continue
+                rows, some, links = linked(x, y, np.arange(i, to), np.arange(end), mask, block, blocks)
                 if not len(rows):
                     continue
                 x.links[rows] += links @ y.copies[some]
@@ -245,6 +247,12 @@ def _pair_up(settings: Settings, kind: type):
     return run
 
 
+def _outer(x: np.ndarray, left: bool) -> np.ndarray:
+    """Rows and columns whose product is the squared distance: (|x|^2, 1, -2x) and (1, |y|^2, y)."""
+    size, one = (x * x).sum(1, keepdims=True), np.ones((len(x), 1), np.float32)
+    return np.concatenate([size, one, -2 * x], axis=1) if left else np.ascontiguousarray(np.concatenate([one, size, x], axis=1).T)
+
+
 def _where(rows: np.ndarray, cols: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rows and cols that have any, and the mask of these."""
     r, c = mask.any(1), mask.any(0)
