@@ -24,14 +24,32 @@ ALLERGY_CONTEXT = "allerg|adverse reaction|intoleran"
 # Fixed value: characters after a drug's name in which its attributes are looked for.
 ATTRIBUTE_WINDOW = 60
 
-SENTENCE = "struct<text:string,start:int,end:int>"
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of value, which is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Numbers that running_sums() adds up one by one.
+SUM_BLOCK = 256
+
+
+def running_sums(values: Column) -> Column:
+    """For each of an array of ints the sum of those before it. In blocks, as an array that grows is copied at each step: sums of blocks first, then within each."""
+
+    def sums(block: Column, first: Column) -> Column:
+        start = F.struct(first.alias("sum"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, start, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.array_append(s["out"], s["sum"]).alias("out")))["out"]
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / SUM_BLOCK).cast("int")), lambda i: F.slice(values, i * SUM_BLOCK + 1, F.lit(SUM_BLOCK)))
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x))
+        return let(totals, lambda t: let(sums(t, F.lit(0)), lambda before: F.flatten(F.transform(blocks, lambda b, i: sums(b, F.get(before, i))))))
+
+    return let(cut, joined)
+
+
 def is_blank(text: Column) -> Column:
     return text.rlike(rf"(?U)^{SPACE}*$")
 
@@ -42,15 +60,17 @@ def sentences(text: Column) -> Column:
     for word in lexicon.ABBREVIATIONS:
         guarded = F.replace(guarded, F.lit(word), F.lit(word.replace(".", "\0")))
 
-    def step(state: Column, chunk: Column, whole: Column) -> Column:
-        at = F.call_function("locate", chunk, whole, state["pos"] + 1) - 1
-        end = at + F.length(chunk)
-        sentence = F.struct(F.replace(chunk, F.lit("\0"), F.lit(".")).alias("text"), at.alias("start"), end.alias("end"))
-        return F.when(chunk == "", state).when(is_blank(chunk), F.struct(end.alias("pos"), state["out"].alias("out"))).otherwise(F.struct(end.alias("pos"), F.array_append(state["out"], sentence).alias("out")))
+    def placed(chunks: Column, before: Column) -> Column:
+        each = F.transform(chunks, lambda x, i: F.struct(F.replace(x, F.lit("\0"), F.lit(".")).alias("text"), F.get(before, i).alias("start"), (F.get(before, i) + F.length(x)).alias("end")))
+        return F.filter(each, lambda s: ~is_blank(s["text"]))
 
     def split(whole: Column) -> Column:
-        start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SENTENCE}>").alias("out"))
-        return F.aggregate(F.split(whole, SENTENCE_END, -1), start, lambda state, chunk: step(state, chunk, whole))["out"]
+        gaps = F.transform(F.regexp_extract_all(whole, F.lit(SENTENCE_END), F.lit(0)), F.length)
+
+        def lengths(c: Column, g: Column) -> Column:
+            return F.transform(c, lambda x, i: F.length(x) + F.coalesce(F.get(g, i), F.lit(0)))
+
+        return let(F.split(whole, SENTENCE_END, -1), lambda c: let(gaps, lambda g: let(running_sums(lengths(c, g)), lambda before: placed(c, before))))
 
     return let(guarded, split)
 
