@@ -39,6 +39,32 @@ def matches(cases: DataFrame) -> DataFrame:
     return out.select("case_id", "concept", "kind", "expected", "got", outcome.alias("outcome"))
 
 
+def match_tables(expected: DataFrame, got: DataFrame) -> DataFrame:
+    """matches() of two tables (case_id, ord, concept, kind, assertion), which need not come from one row: the same columns.
+
+    Equal rows are numbered on either side and joined null-safe, so that a null equals a null; what is left over on both sides is numbered by concept and kind and
+    joined likewise. A number of equal rows is spread by that number in the join, so no key is one task's.
+    """
+
+    def numbered(df: DataFrame, key: tuple[str, ...], name: str) -> DataFrame:
+        return df.withColumn("k", F.row_number().over(Window.partitionBy("case_id", *key).orderBy("ord", "assertion"))).select("case_id", "concept", "kind", "k", F.col("assertion").alias(name), F.col("ord").alias(f"{name}_ord"), F.lit(True).alias(f"in_{name}"))
+
+    def joined(x: DataFrame, y: DataFrame, *more: Column) -> DataFrame:
+        x, y = x.alias("x"), y.alias("y")
+        on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("case_id", "concept", "kind", "k")]
+        sides = [F.coalesce(F.col(f"in_{n}"), F.lit(False)).alias(f"in_{n}") for n in ("expected", "got")]
+        keys = [F.when(F.col("in_expected"), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(c) for c in ("case_id", "concept", "kind")]
+        return x.join(y, [*on, *more], "full_outer").select(*keys, "expected", "got", "expected_ord", "got_ord", *sides)
+
+    x, y = numbered(expected, _KEY, "expected"), numbered(got, _KEY, "got")
+    first = joined(x, y, F.col("expected").eqNullSafe(F.col("got")))
+    exact = first.where("in_expected and in_got").withColumn("outcome", F.lit("exact"))
+    left = [first.where(f"in_{a} and not in_{b}").select("case_id", "concept", "kind", F.col(a).alias("assertion"), F.col(f"{a}_ord").alias("ord")) for a, b in (("expected", "got"), ("got", "expected"))]
+    rest = joined(*(numbered(df, ("concept", "kind"), n) for df, n in zip(left, ("expected", "got"), strict=True)))
+    rest = rest.withColumn("outcome", F.when(~F.col("in_got"), "missed").when(~F.col("in_expected"), "spurious").otherwise("wrong_assertion"))
+    return exact.unionByName(rest).select("case_id", "concept", "kind", "expected", "got", "outcome")
+
+
 def _prf(tp: Column, fp: Column, fn: Column, prefix: str) -> list[Column]:
     p, r = (F.coalesce(F.try_divide(tp, tp + x), F.lit(0.0)) for x in (fp, fn))
     return [F.round(v, 6).alias(f"{prefix}_{n}") for n, v in (("precision", p), ("recall", r), ("f1", F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))))]
@@ -72,6 +98,13 @@ def confusion(found: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("expected").alias("true_assertion")).pivot("got", list(lexicon.ASSERTIONS)).count().fillna(0)
 
 
+def confusion_margins(found: DataFrame) -> DataFrame:
+    """confusion() as rows (true_assertion, got, n) with its sums, 'all' standing for every assertion: cells, rows, columns and the whole in one pass."""
+    pairs = found.where("outcome in ('exact', 'wrong_assertion')").withColumnRenamed("expected", "true_assertion")
+    sums = pairs.cube("true_assertion", "got").agg(F.count("*").alias("n"), F.grouping("true_assertion").alias("g"), F.grouping("got").alias("h"))
+    return sums.select(F.when(F.col("g") == 1, "all").otherwise(F.col("true_assertion")).alias("true_assertion"), F.when(F.col("h") == 1, "all").otherwise(F.col("got")).alias("got"), "n")
+
+
 def leakage(found: DataFrame) -> DataFrame:
     """Negated and family findings that came out as present, and the share of the negated ones."""
     pairs = found.where("outcome in ('exact', 'wrong_assertion')")
@@ -100,8 +133,9 @@ def section_scores(gold: DataFrame) -> DataFrame:
 
 def section_summary(scores: DataFrame) -> DataFrame:
     """Pass rates of all, core and arguable documents, with and without the layer, and how many it fixed and broke."""
-    sets = scores.select(F.explode(F.array(F.lit("all"), F.when(F.col("arguable"), "arguable").otherwise("core"))).alias("set"), "*")
-    return sets.groupBy("set").agg(F.count("*").alias("n"), F.round(F.avg(F.col("pass_without").cast("int")), 6).alias("without"), F.round(F.avg(F.col("pass_with").cast("int")), 6).alias("with"), F.count_if(F.expr("pass_with and not pass_without")).alias("fixed"), F.count_if(F.expr("pass_without and not pass_with")).alias("broken"), F.sum("n_changes").alias("n_changes"))
+    name = F.when(F.grouping("arguable") == 1, "all").when(F.col("arguable"), "arguable").otherwise("core")
+    sums = scores.withColumn("arguable", F.coalesce("arguable", F.lit(False))).rollup("arguable").agg(name.alias("set"), F.count("*").alias("n"), F.round(F.avg(F.col("pass_without").cast("int")), 6).alias("without"), F.round(F.avg(F.col("pass_with").cast("int")), 6).alias("with"), F.count_if(F.expr("pass_with and not pass_without")).alias("fixed"), F.count_if(F.expr("pass_without and not pass_with")).alias("broken"), F.sum("n_changes").alias("n_changes"))
+    return sums.where(F.col("n") > 0).drop("arguable")
 
 
 def per_class(rows: DataFrame, truth: str = "truth", got: str = "got") -> DataFrame:

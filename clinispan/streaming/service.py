@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import secrets
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from clinispan.functions.text import is_blank
 from clinispan.operators import extract, fhir, reconcile
@@ -109,15 +111,64 @@ def batch_summary(done: DataFrame) -> DataFrame:
     return done.groupBy("request_id").agg(F.count("*").alias("n_documents"), F.count_if(~F.col("ok")).alias("n_failed"), F.sum(F.coalesce("n_entities", F.lit(0))).alias("n_entities"))
 
 
+TOTALS = "n_documents long, n_failed long, n_entities long"
+#: What serve() observes of the requests of a batch, by name.
+OBSERVED = "clinispan_requests"
+
+
+def observed_totals(done: DataFrame, action: Callable[[DataFrame], None]) -> tuple[int, int, int]:
+    """n_documents, n_failed and n_entities of results(), observed while action runs over them: no pass and no shuffle of their own."""
+    seen = Observation()
+    action(done.observe(seen, F.count("*").alias("n_documents"), F.count_if(~F.col("ok")).alias("n_failed"), F.coalesce(F.sum("n_entities"), F.lit(0)).alias("n_entities")))
+    return tuple(seen.get[c.split()[0]] for c in TOTALS.split(", "))
+
+
+class Totals(StreamingQueryListener):
+    """Adds up what serve() observes of requests: n_requests and n_refused of each batch that ended, by its number, so that one which is reported again counts once."""
+
+    def __init__(self):
+        self.batches: dict[int, tuple[int, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(OBSERVED)
+        if seen is not None:
+            self.batches[event.progress.batchId] = (seen["n_requests"], seen["n_refused"])
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    @property
+    def sums(self) -> tuple[int, int]:
+        return tuple(map(sum, zip((0, 0), *self.batches.values(), strict=True)))
+
+
+def replace_batch(rows: DataFrame, path: str, n: int) -> None:
+    """rows as batch n of the table at path, in place of what it had."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={n}")
+
+
 def serve(requests: DataFrame, out: str, checkpoint: str, token: str | None = None):
-    """Answer a stream of requests: responses and log rows as Parquet under out, by micro-batches, until it is stopped."""
+    """Answer a stream of requests: responses, log rows and totals as Parquet under out, by micro-batches, until it is stopped.
+
+    Each batch has a folder batch_id=N in each of the three, which is replaced as a whole: a batch that is run again, after a
+    failure or from the checkpoint, leaves every response once. Requests are observed as they are validated, for a Totals listener; documents as their responses
+    are written, for the table of totals. Neither reads anything twice.
+    """
 
-    def batch(rows: DataFrame, _: int) -> None:
-        checked = validated(rows, token).persist()
+    def batch(rows: DataFrame, n: int) -> None:
+        checked = rows.persist()
         done = results(checked).persist()
-        done.write.mode("append").parquet(f"{out}/responses")
-        safe_log(checked, done).write.mode("append").parquet(f"{out}/log")
+        totals = observed_totals(done, lambda df: replace_batch(df, f"{out}/responses", n))
+        replace_batch(safe_log(checked, done), f"{out}/log", n)
+        replace_batch(rows.sparkSession.createDataFrame([totals], TOTALS), f"{out}/totals", n)
         done.unpersist()
         checked.unpersist()
 
-    return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    observed = validated(requests, token).observe(OBSERVED, F.count("*").alias("n_requests"), F.count_if(F.col("status") != 200).alias("n_refused"))
+    return observed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

@@ -67,3 +67,38 @@ def test_stream_gives_what_a_table_gives(spark, tmp_path):
     query.stop()
     assert spark.read.parquet(str(tmp_path / "out/log")).count() == len(REQUESTS)
     assert spark.read.parquet(str(tmp_path / "out/responses")).agg(F.sum("n_entities")).first()[0] == 6
+
+
+def test_a_batch_that_is_run_again_leaves_each_response_once(spark, tmp_path):
+    """A batch called twice, then a restart from the checkpoint with more requests; totals by batch are those of the responses."""
+    rows = spark.createDataFrame(REQUESTS, service.REQUEST)
+    done = service.results(service.validated(rows))
+    for _ in range(2):
+        service.replace_batch(done, str(tmp_path / "twice"), 4)
+    assert spark.read.parquet(str(tmp_path / "twice")).count() == done.count()
+
+    totals = service.Totals()
+    spark.streams.addListener(totals)
+    rows.where("request_id in ('r1', 'r2', 'r5')").write.json(str(tmp_path / "in"))
+    for more in (None, rows.where("request_id = 'r9'")):
+        if more is not None:
+            more.write.mode("append").json(str(tmp_path / "in"))
+            # As after a failure before the batch was recorded as done: it is run again.
+            for f in (tmp_path / "ck/commits").glob("*0*"):
+                f.unlink()
+        query = service.serve(spark.readStream.schema(service.REQUEST).json(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
+        query.processAllAvailable()
+        query.stop()
+    responses = spark.read.parquet(str(tmp_path / "out/responses"))
+    assert sorted(r["request_id"] for r in responses.select("request_id").distinct().collect()) == ["r1", "r5", "r9"]
+    assert responses.groupBy("request_id", "ord").count().where("count > 1").count() == 0 and responses.count() == 7
+    assert spark.read.parquet(str(tmp_path / "out/log")).count() == 4
+    kept = spark.read.parquet(str(tmp_path / "out/totals")).agg(F.sum("n_documents"), F.sum("n_failed"), F.sum("n_entities")).first()
+    assert tuple(kept) == tuple(service.batch_summary(responses).agg(F.sum("n_documents"), F.sum("n_failed"), F.sum("n_entities")).first())
+    assert totals.sums == (4, 1)
+    spark.streams.removeListener(totals)
+
+
+def test_observed_totals_are_those_of_the_summary(done):
+    seen = service.observed_totals(done[1], lambda df: df.write.format("noop").mode("overwrite").save())
+    assert seen == tuple(service.batch_summary(done[1]).agg(F.sum("n_documents"), F.sum("n_failed"), F.sum("n_entities")).first())
