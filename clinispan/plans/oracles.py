@@ -9,6 +9,7 @@ from __future__ import annotations
 from clinispan import lexicon
 from clinispan.functions import context
 from clinispan.operators import fhir, reconcile
+from clinispan.plans.queries import GENERATED
 from clinispan.sources.notes import notes_sql
 
 
@@ -109,6 +110,9 @@ def _chain(table: str, key: str, patient: str) -> list[tuple[str, str]]:
         ("left_wanted", "select note_id, concept, kind, assertion, row_number() over (partition by note_id, concept, kind order by start) as r from wanted w anti join given g using (note_id, concept, kind, assertion, k)"),
         ("left_given", "select note_id, concept, kind, assertion, row_number() over (partition by note_id, concept, kind order by start) as r from given g anti join wanted w using (note_id, concept, kind, assertion, k)"),
         ("outcomes", "select note_id as case_id, concept, kind, assertion as expected, assertion as got, 'exact' as outcome from wanted semi join given using (note_id, concept, kind, assertion, k) union all select note_id, concept, kind, w.assertion, g.assertion, case when g.assertion is null then 'missed' when w.assertion is null then 'spurious' else 'wrong_assertion' end from left_wanted w full join left_given g using (note_id, concept, kind, r)"),
+        ("generated", f"select phrase, min(k) as ord, cast(min(k) as varchar) as concept from (select o_orderkey as k, {GENERATED.duckdb('o_orderkey')} || ' ' || case o_orderkey % 10 when 0 then 'today' when 1 then 'and' else cast(o_orderkey as varchar) end as phrase from orders) group by phrase"),
+        ("generated_hits", """select sent, s, s + n as e, phrase, concept from (select sent, p - 1 as s, n, low, substr(low, cast(p as bigint), n) as phrase from (select sent, low, unnest(range(1, length(low) + 1)) as p from texts), (select distinct length(phrase) as n from generated)
+          where p = 1 or not regexp_matches(substr(low, p - 1, 1), '[a-z0-9]')) join generated using (phrase) where not regexp_matches(substr(low, s + n + 1, 1), '[a-z0-9]')"""),
         ("numbered", "select l.*, cast(row_number() over (partition by note_id order by start, case kind when 'condition' then 0 when 'medication' then 1 else 2 end) as integer) as n, n2.patient_id from layered l join notes n2 using (note_id)"),
     ]
 
@@ -169,10 +173,22 @@ FINAL = {
     "rule_classes": f"""select label, support, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) as precision, round(tp / nullif(tp + fn, 0), 6) as recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) as f1, round(accuracy, 6) as accuracy from (
       select label, count(*) filter (wanted = label) as support, count(*) filter (wanted = label and given = label) as tp, count(*) filter (wanted <> label and given = label) as fp, count(*) filter (wanted = label and given <> label) as fn, avg(case when wanted = given then 1.0 else 0.0 end) as accuracy
       from sided, (select unnest([{', '.join(f"'{a}'" for a in lexicon.ASSERTIONS)}]) as label) group by label) where support > 0 or fp > 0""",
+    "phrase_hits": "select note_id, sent_id, h.kind, cast(h.s as integer) as s, cast(h.e as integer) as e, h.concept from sentences q join texts x on x.original = q.text join hits h using (sent)",
+    "phrase_hits_generated": "select note_id, sent_id, cast(s as integer) as s, cast(e as integer) as e, phrase, concept from sentences q join texts x on x.original = q.text join generated_hits h using (sent) where not exists (select 1 from generated_hits o where o.sent = h.sent and o.s < h.e and h.s < o.e and o.e - o.s > h.e - h.s)",
+    "service_totals": "select count(*) as n_documents, count(*) filter (not ok) as n_failed, cast(sum(coalesce(n_entities, 0)) as bigint) as n_entities from answers",
+    "gold_confusion_margins": "select case when grouping(expected) = 1 then 'all' else expected end as true_assertion, case when grouping(got) = 1 then 'all' else got end as got, count(*) as n from outcomes where outcome in ('exact', 'wrong_assertion') group by cube (expected, got)",
+    "section_summary": """select case when grouping(arguable) = 1 then 'all' when arguable then 'arguable' else 'core' end as set, count(*) as n, round(avg(without::int), 6) as without, round(avg(with_::int), 6) as "with", count(*) filter (with_ and not without) as fixed, count(*) filter (without and not with_) as broken, cast(sum(n_changes) as bigint) as n_changes
+      from (select n.note_id % 5 = 0 as arguable, n_changes, n.note_id % 3 = 0 or n_changes = 0 as without, n.note_id % 3 <> 0 or n_changes = 0 as with_
+        from notes n join (select x.note_id, count(l.section_default) as n_changes from notes x left join layered l using (note_id) group by x.note_id) using (note_id)) group by rollup (arguable)""",
     "family_leak": "select count(*) as n_leaks from numbered f where kind = 'condition' and layered = 'family' and exists (select 1 from numbered o where o.note_id = f.note_id and o.kind = 'condition' and o.layered not in ('family', 'hypothetical') and lower(o.text) = lower(f.text))",
 }
 
 
+#: Queries that come by other joins to what another one gives.
+SAME = {"scopes_by_rows": "scopes", "entity_axes_by_rows": "entity_axes", "entity_sections_by_rows": "entity_sections", "misses_by_table": "mapping_misses", "gold_errors_by_tables": "gold_errors", "coded_by_table": "coded_entities"}
+FINAL |= {name: FINAL[other] for name, other in SAME.items()}
+
+
 def oracle_sql(table: str = "customer", key: str = "c_custkey", patient: str = "c_custkey") -> dict[str, str]:
     """A statement per query of plans.queries over the synthetic notes of a table."""
     chain = _chain(table, key, patient)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinispan.operators import evaluate, extract, fhir, learned, reconcile, views
+from clinispan import lexicon
+from clinispan.operators import evaluate, extract, fhir, learned, phrases, reconcile, rows, terminology, views
 from clinispan.sources import notes
 from clinispan.streaming import service
 
@@ -39,6 +40,64 @@ def entity_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entities(spark, sf_dir).select("note_id", "sent_id", "start", "end", "text", "kind", "concept", "presence", "experiencer", "temporality", "assertion", "assertion_source")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.sentences(notes.customer_notes(spark, sf_dir)).select("note_id", "sent_id", F.lower("text").alias("low"))
+
+
+def _row_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, triggers, _ = rows.package_tables(spark)
+    return rows.entities(views.sentences(notes.customer_notes(spark, sf_dir)), table, triggers)
+
+
+def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary matches by the inverted index."""
+    return rows.hits(_texts(spark, sf_dir), rows.package_tables(spark)[0]).select("note_id", "sent_id", "kind", "s", "e", "concept")
+
+
+#: A phrase for each order: a finding, and what may follow it in a note, or the order's number.
+GENERATED = notes.Pick([p for p, _ in lexicon.pairs(lexicon.CONDITION_TERMS)], 1, 7)
+
+
+def generated_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    after = F.when(k % 10 == 0, "today").when(k % 10 == 1, "and").otherwise(k.cast("string"))
+    made = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat_ws(" ", GENERATED.spark(k), after).alias("phrase"), k.alias("k"))
+    return made.groupBy("phrase").agg(F.min("k").alias("ord")).select(F.lit("generated").alias("kind"), "phrase", F.col("ord").cast("string").alias("concept"), "ord")
+
+
+def phrase_hits_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest matches of a lexicon that grows with the orders."""
+    found = phrases.find_phrases(_texts(spark, sf_dir), generated_lexicon(spark, sf_dir))
+    return phrases.longest_matches(found, ["note_id", "sent_id"]).select("note_id", "sent_id", "s", "e", "phrase", "concept")
+
+
+def scopes_by_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes of sentences that have a match, as running extremes of a stream of places."""
+    texts = _texts(spark, sf_dir)
+    table, triggers, _ = rows.package_tables(spark)
+    asked = texts.join(rows.hits(texts, table).select("note_id", "sent_id").distinct(), ["note_id", "sent_id"], "left_semi")
+    return rows.scopes(asked, triggers)
+
+
+def entity_axes_by_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _row_entities(spark, sf_dir).drop("dose", "route", "frequency")
+
+
+def entity_sections_by_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings placed in sections by a join of intervals."""
+    found = _row_entities(spark, sf_dir).select("note_id", "start", "kind", "concept")
+    return rows.with_sections(found, views.section_spans(extract.with_sections(_plain(spark, sf_dir))))
+
+
+def coded_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = terminology.coded(_entities(spark, sf_dir), terminology.as_of(rows.package_tables(spark)[2]))
+    return coded.select("note_id", "start", "kind", "concept", *terminology.CODE)
+
+
+def misses_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terminology.misses(_entities(spark, sf_dir), terminology.as_of(rows.package_tables(spark)[2]))
+
+
 def fhir_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.get("code.coding", F.lit(0))["code"]
     return fhir.conditions(_resources(spark, sf_dir)).select("id", F.col("subject.reference").alias("subject"), F.col("code.text").alias("text"), code.alias("code"), F.get("clinicalStatus.coding", F.lit(0))["code"].alias("clinical_status"), F.get("verificationStatus.coding", F.lit(0))["code"].alias("verification_status"))
@@ -105,6 +164,41 @@ def gold_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.errors(evaluate.matches(_self_gold(spark, sf_dir)))
 
 
+def _sides(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The expected and the predicted triples of _self_gold() as two tables."""
+    gold = _self_gold(spark, sf_dir)
+    return [gold.select("case_id", F.posexplode_outer(side).alias("ord", "x")).where("x is not null").select("case_id", "ord", "x.concept", "x.kind", "x.assertion") for side in ("expected", "entities")]
+
+
+def gold_errors_by_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.errors(evaluate.match_tables(*_sides(spark, sf_dir)))
+
+
+def gold_confusion_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confusion matrix as rows, with its sums, in one pass."""
+    return evaluate.confusion_margins(evaluate.match_tables(*_sides(spark, sf_dir)))
+
+
+def section_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pass rates over the notes: expected is what the sections give, but in every third note what the sentences give; every fifth is arguable."""
+
+    def pairs(assertion: Callable[[Column], Column]) -> Column:
+        own = F.filter("entities", lambda e: e["kind"] == "condition")
+        return F.transform(own, lambda e: F.struct(e["concept"].alias("concept"), F.lit("condition").alias("kind"), assertion(e).alias("assertion")))
+
+    layered = _layered(spark, sf_dir)
+    plain = pairs(lambda e: F.when(e["section_default"].isNotNull(), F.lit("present")).otherwise(e["assertion"]))
+    expected = F.when(F.col("note_id") % 3 == 0, plain).otherwise(pairs(lambda e: e["assertion"]))
+    gold = layered.select(F.col("note_id").alias("case_id"), "text", expected.alias("expected"), (F.col("note_id") % 5 == 0).alias("arguable"))
+    return evaluate.section_summary(evaluate.section_scores(gold))
+
+
+def service_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, failures and entities of all requests, observed while the responses are written."""
+    done = service.results(service.validated(_requests(spark, sf_dir)))
+    return spark.createDataFrame([service.observed_totals(done, lambda df: df.write.format("noop").mode("overwrite").save())], service.TOTALS)
+
+
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in sentences that neither classifier has seen, one per supplier and part, with the learned and the rules' assertion. The learner trains on one per customer."""
 
@@ -197,6 +291,17 @@ def queries() -> dict[str, Query]:
         "learned_comparison": learned_comparison,
         "learned_bake_off": learned_bake_off,
         "rule_classes": rule_classes,
+        "phrase_hits": phrase_hits,
+        "phrase_hits_generated": phrase_hits_generated,
+        "scopes_by_rows": scopes_by_rows,
+        "entity_axes_by_rows": entity_axes_by_rows,
+        "entity_sections_by_rows": entity_sections_by_rows,
+        "coded_by_table": coded_by_table,
+        "misses_by_table": misses_by_table,
+        "gold_errors_by_tables": gold_errors_by_tables,
+        "gold_confusion_margins": gold_confusion_margins,
+        "section_summary": section_summary,
+        "service_totals": service_totals,
         "fhir_lint_broken": fhir_lint_broken,
     }
     for name, (columns, test) in entity.items():
