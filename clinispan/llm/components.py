@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinispan.llm.scratch import drop, table
+from clinispan.llm.scratch import drop, join_counted, table
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of the undirected edges; component is the smallest node reachable.
 
     Rows with a null end and self loops add nothing; repeated edges count once; no edges give no rows.
-    A minimum by node is pre-aggregated in the map tasks, so a node with very many edges is no hot group.
+    A minimum by node is pre-aggregated in the map tasks, and joined with the edges of a node with very many as they lie, so such a node is no hot group.
     """
     now = table(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -26,12 +26,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         state = (size["n"], size["s"])
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        with_low = large.join(lowest, "u")
+        least = table(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = table(join_counted(both.where("v > u"), least, "u", "n").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lowest = table(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        with_low = join_counted(large, lowest, "u", "n")
         star = with_low.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", "m")).distinct()
         after = table(star)
-        drop(now)
+        for used in (now, least, large, lowest):
+            drop(used)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
