@@ -276,5 +276,8 @@ def archive_and_read(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     records = read_packages(write_packages(pages, scratch_path(pages.sparkSession), min_payload=min_payload))
     narrow = table(records.select("key", "type", "url", F.length("payload").cast("long").alias("own"), "digest", "refers_to"))
     full = narrow.where("type = 'response'").groupBy(F.col("key").alias("refers_to"), "digest").agg(F.max("own").alias("full"))
-    both = narrow.join(full, ["refers_to", "digest"], "left")
+    # A record that very many refer to is joined with them where they lie.
+    referred = narrow.where("type = 'revisit'").groupBy("refers_to", "digest").agg(F.count("*").alias("n"))
+    sizes = table(referred.join(full, ["refers_to", "digest"]))
+    both = join_counted(narrow, sizes, ["refers_to", "digest"], "n", "left")
     return both.select("key", "type", "url", F.coalesce("full", "own").alias("payload_bytes"), "digest", "refers_to")
