@@ -133,8 +133,8 @@ def remove_repeats(docs: DataFrame, k: int = 50) -> DataFrame:
     copies = table(join_counted(whole.select(*_KEY), first, ["s1", "s2"], "n").where("doc_id > low").select(*_KEY).distinct())
     own = whole.join(small(copies), _KEY, "left_anti")
     anchors = own.select(*_KEY, F.explode(F.arrays_zip("h", "at")).alias("x")).select(*_KEY, "x.h", "x.at")
-    shared = table(anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h"))
-    hits = table(anchors.join(small(shared), "h", "left_semi").groupBy(*_KEY).agg(F.collect_set("at").alias("at")))
+    shared = table(anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("h", "n"))
+    hits = table(join_counted(anchors, shared, "h", "n").groupBy(*_KEY).agg(F.collect_set("at").alias("at")))
     run, schema = _near_anchors(k, short)
     texts = own.select(*_KEY, "words").join(small(hits.select(*_KEY)), _KEY, "left_semi")
     found = table(texts.join(hits, _KEY).select(*_KEY, "words", "at").mapInArrow(run, schema))
