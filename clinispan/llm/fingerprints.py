@@ -3,11 +3,13 @@
 A sketch has CELLS cells in three parts; a digest is added to one cell of each: a count, an exclusive or of digests and one of
 their check hashes. Subtracting the sketches of two versions leaves only the digests that differ, and peeling recovers them
 from cells that hold one alone. Where that fails, because too many differ, the pair is sketched again, larger: digests are dealt
-out to as many sketches as the pair needs, and a sketch that fails once more is made four times as large.
+out to as many sketches as the pair needs, and a sketch that fails once more is made four times as large, as often as it takes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,18 +80,40 @@ def sketch_likeness(pairs: DataFrame, key: list[str]) -> DataFrame:
     """key columns and likeness of rows (key, x, y): arrays of distinct digests, compared through sketches.
 
     key must identify rows. Pairs are first compared by sketches of CELLS cells; those that do not peel are compared in parts, each by CELLS
-    cells and then by LARGE; digests that even these leave mixed (equal bits where the sketches look) are compared as they are.
+    cells and then by LARGE. Parts that these leave mixed are hashed anew and dealt out once more, until none is left: every round gives
+    their digests other cells, so few outlast two.
     """
-    first = table(pairs.withColumn("d", F.expr(peeled(difference(sketch("x"), sketch("y"))))).withColumn("ok", F.expr(_clean("d"))).select(*key, F.size("x").alias("nx"), F.size("y").alias("ny"), "ok", F.col("d.more").alias("more"), F.col("d.fewer").alias("fewer"), F.when(~F.col("ok"), F.col("x")).alias("x"), F.when(~F.col("ok"), F.col("y")).alias("y")))
-    hard = first.where("not ok").withColumn("parts", F.expr(f"cast(ceil((nx + ny) / {LOAD}.0) as int)"))
-    dealt = hard.select(*key, "parts", F.explode(F.expr("concat(transform(x, d -> named_struct('d', d, 'side', 1)), transform(y, d -> named_struct('d', d, 'side', 2)))")).alias("e")).select(*key, F.expr("pmod(shiftrightunsigned(e.d, 17), parts)").alias("part"), "e.d", "e.side")
+    first = table(_compared(pairs.select(*key, "x", "y"), key, F.size("x").alias("nx"), F.size("y").alias("ny")))
+    told, hard, made = [first.where("ok").select(*key, "more", "fewer")], first.where("not ok").select(*key, "x", "y"), []
+    while True:
+        parts = table(_dealt(hard, key, len(made)))
+        made.append(parts)
+        told.append(parts.where("ok").select(*key, "more", "fewer"))
+        hard = parts.where("not ok").select(*key, "x", "y")
+        if hard.isEmpty():
+            break
+    sums = reduce(DataFrame.union, told).groupBy(*key).agg(F.sum("more").alias("more"), F.sum("fewer").alias("fewer"))
+    sizes = first.select(*key, "nx", "ny")
+    return sizes.join(sums, key, "left").select(*key, likeness("nx", "ny", "coalesce(more, 0)", "coalesce(fewer, 0)").alias("likeness"))
+
+
+def _compared(pairs: DataFrame, key: list[str], *more: Column) -> DataFrame:
+    """pairs (key, x, y) with ok, and more and fewer (digests of x and of y alone) where a sketch of CELLS cells peels; x and y only where not."""
+    state = pairs.withColumn("d", F.expr(peeled(difference(sketch("x"), sketch("y"))))).withColumn("ok", F.expr(_clean("d")))
+    return state.select(*key, *more, "ok", F.col("d.more").alias("more"), F.col("d.fewer").alias("fewer"), *(F.when(~F.col("ok"), F.col(c)).alias(c) for c in ("x", "y")))
+
+
+def _dealt(hard: DataFrame, key: list[str], round_: int) -> DataFrame:
+    """_compared() for the parts of pairs, of LOAD digests about, by sketches of CELLS cells and then of LARGE. After the first round digests stand for others, hashed by its number."""
+    known = hard.withColumns({c: F.expr(f"array_distinct(transform({c}, d -> xxhash64({round_}, d)))") for c in ("x", "y")}) if round_ else hard
+    sized = known.withColumn("parts", F.expr(f"cast(ceil((size(x) + size(y)) / {LOAD}.0) as int)"))
+    dealt = sized.select(*key, "parts", F.explode(F.expr("concat(transform(x, d -> named_struct('d', d, 'side', 1)), transform(y, d -> named_struct('d', d, 'side', 2)))")).alias("e")).select(*key, F.expr("pmod(shiftrightunsigned(e.d, 17), parts)").alias("part"), "e.d", "e.side")
     parts = dealt.groupBy(*key, "part").agg(F.expr("collect_list(d) filter (where side = 1)").alias("x"), F.expr("collect_list(d) filter (where side = 2)").alias("y"))
     parts = parts.withColumn("s", F.expr(peeled(difference(sketch("x"), sketch("y")))))
     parts = parts.withColumn("l", F.expr(f"case when not {_clean('s')} then {peeled(difference(sketch('x', LARGE), sketch('y', LARGE)), LARGE)} end"))
-    more, fewer = (F.expr(f"cast(case when {_clean('s')} then s.{n} when {_clean('l')} then l.{n} else size(array_except({a}, {b})) end as bigint)") for n, a, b in (("more", "x", "y"), ("fewer", "y", "x")))
-    retried = parts.select(*key, more.alias("more"), fewer.alias("fewer")).groupBy(*key).agg(F.sum("more").alias("more2"), F.sum("fewer").alias("fewer2"))
-    joined = first.select(*key, "nx", "ny", "ok", "more", "fewer").join(retried, key, "left")
-    return joined.withColumns({c: F.when(F.col("ok"), F.col(c)).otherwise(F.col(f"{c}2")) for c in ("more", "fewer")}).select(*key, likeness("nx", "ny", "more", "fewer").alias("likeness"))
+    found = [F.expr(f"case when {_clean('s')} then s.{n} when {_clean('l')} then l.{n} end").alias(n) for n in ("more", "fewer")]
+    ok = F.expr(f"{_clean('s')} or coalesce({_clean('l')}, false)")
+    return parts.withColumn("ok", ok).select(*key, "ok", *found, *(F.when(~F.col("ok"), F.col(c)).alias(c) for c in ("x", "y")))
 
 
 def _predecessors(docs: DataFrame) -> DataFrame:

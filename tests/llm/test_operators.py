@@ -274,6 +274,43 @@ def test_short_lines_of_sentences_are_likened_by_sentence(spark):
     assert len(text) < 400 and got[1] >= 0.5 and got[2] >= 0.5
 
 
+def plain_units(text):
+    import re
+
+    return {p.strip(" ") for line in re.split(r"\n+", text) for p in re.split(r"(?<=[.!?])[ ]+", line) if p.strip(" ")}
+
+
+def test_near_versions_against_plain_sets(spark):
+    """near_edited and near_next of documents of one to 300 sentences, from the sets of sentences themselves."""
+    rng = random.Random(17)
+    pool = [f"Sentence number {i} says {rng.randrange(10**6)}{rng.choice('.!?')}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        own = rng.sample(pool, rng.choice((1, 3, 12, 60, 300)))
+        rows.append((i * 3, "".join(x + rng.choice((" ", "\n", "  ", "\n\n")) for x in own)))
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_versions(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for n, (i, text) in enumerate(rows):
+        after, k = rows[(n + 1) % len(rows)][1], len(text) // 4
+        for other, name in ((text[: len(text) - k] + after[:k], "near_edited"), (after, "near_next")):
+            x, y = plain_units(text), plain_units(other)
+            assert math.isclose(got[i][name], len(x & y) / len(x | y)), (i, name)
+
+
+def test_sketches_that_do_not_peel_are_dealt_out_again(spark, monkeypatch):
+    """With one round of peeling most parts stay mixed; they go on until none is."""
+    monkeypatch.setattr(fingerprints, "ROUNDS", 1)
+    rounds = []
+    dealt = fingerprints._dealt
+    monkeypatch.setattr(fingerprints, "_dealt", lambda hard, key, n: rounds.append(n) or dealt(hard, key, n))
+    rng = random.Random(5)
+    rows = [(i, rng.sample(range(10**12), n), rng.sample(range(10**12), m)) for i, (n, m) in enumerate(((300, 300), (1000, 0), (0, 40), (0, 0)))]
+    rows.append((9, rows[0][1], rows[0][1][:150] + rows[0][2][:150]))
+    df = table(spark.createDataFrame(rows, "i long, x array<bigint>, y array<bigint>"))
+    got = {r["i"]: r["likeness"] for r in fingerprints.sketch_likeness(df, ["i"]).collect()}
+    assert all(math.isclose(got[i], len({*x} & {*y}) / len({*x} | {*y}) if x or y else 1.0) for i, x, y in rows)
+    assert len(rounds) > 1
+
+
 def test_fingerprints_of_versions(docs, empty):
     rows = sorted(((r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["text"] or "") for r in docs.distinct().collect()))
     got = fingerprints.fingerprint_versions(docs).collect()
