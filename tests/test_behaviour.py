@@ -112,6 +112,40 @@ def test_learned_classifier(spark):
     assert spans.count() == 0
 
 
+#: score() for DuckDB, over the rows and the tables of exported().
+SCORES = r"""
+with sides as (select id, 'left' as side, lower(substr(text, greatest(start - 60, 0) + 1, least(start, 60))) as t from rows union all select id, 'right', lower(substr(text, "end" + 1, 40)) from rows),
+words as (select id, side, regexp_extract_all(t, '\w\w+') as w from sides),
+grams as (select id, side, gram, count(*) as n from (select id, side, unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))))) as gram from words) group by all),
+known as (select id, side, gram, (1 + ln(n)) * idf as v from grams join features using (side, gram)),
+length as (select id, side, sqrt(sum(v * v)) as length from known group by all),
+parts as (select id, label, sum(v * weight / length) as parts from known join length using (id, side) join weights using (side, gram) group by all)
+select id, label, intercept + coalesce(parts, 0) as score from (select id from rows) cross join intercepts left join parts using (id, label)
+"""
+
+
+def test_learned_classifier_as_tables(spark, tmp_path):
+    """Joins and sums of the exported tables give the fitted model's predictions, and DuckDB gives their scores."""
+    import duckdb
+
+    model = learned.train(notes.labelled_corpus(spark.range(600), "id", 5))
+    seen = notes.labelled_corpus(spark.range(300), "id", 99).union(spark.createDataFrame([(1000, "gout", 0, 4, "gout", "present"), (1001, "No no no gout", 9, 13, "gout", "absent")], "id long, text string, start int, end int, concept string, assertion string"))
+    tables = learned.exported(spark, model)
+    for name, df in zip(("features", "weights", "intercepts"), tables, strict=True):
+        df.write.parquet(str(tmp_path / name))
+    seen.write.parquet(str(tmp_path / "rows"))
+    kept = [spark.read.parquet(str(tmp_path / name)) for name in ("features", "weights", "intercepts")]
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    want = {r["id"]: r["learned"] for r in learned.predict(model, rows).collect()}
+    assert {r["id"]: r["learned"] for r in learned.predict_by_tables(rows, *kept).collect()} == want and len(set(want.values())) > 3
+    con = duckdb.connect()
+    for name in ("features", "weights", "intercepts", "rows"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}/*.parquet'")
+    theirs = {(i, label): v for i, label, v in con.execute(SCORES).fetchall()}
+    ours = {(r["id"], r["label"]): r["score"] for r in learned.score(rows, *kept).collect()}
+    assert ours.keys() == theirs.keys() and all(abs(ours[k] - theirs[k]) < 1e-9 for k in ours)
+
+
 def test_reports(spark, tmp_path):
     made = reports.evaluation(notes.gold(spark, [("No asthma.", [("asthma", "condition", "absent")]), ("Fever.", [("fever", "condition", "absent")])]))
     made = {k: made[k] for k in ("score", "leakage", "mapping")}
