@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting for deleting a query's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows up to which a narrow table (ids, hashes, a few numbers: under 64 bytes a row) may be broadcast.
 BROADCAST_ROWS = 500_000
 #: Rows of a key from which join_counted() doesn't shuffle them to one task.
@@ -31,10 +33,15 @@ def scratch_path(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame) -> DataFrame:
-    """The same rows, written once and read from the shared folder."""
-    path = scratch_path(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The same rows, written once and read from the shared folder. The shuffle files that made them go at once, as nothing reads them again."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
