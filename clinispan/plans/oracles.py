@@ -175,6 +175,11 @@ FINAL = {
       from sided, (select unnest([{', '.join(f"'{a}'" for a in lexicon.ASSERTIONS)}]) as label) group by label) where support > 0 or fp > 0""",
     "phrase_hits": "select note_id, sent_id, h.kind, cast(h.s as integer) as s, cast(h.e as integer) as e, h.concept from sentences q join texts x on x.original = q.text join hits h using (sent)",
     "phrase_hits_generated": "select note_id, sent_id, cast(s as integer) as s, cast(e as integer) as e, phrase, concept from sentences q join texts x on x.original = q.text join generated_hits h using (sent) where not exists (select 1 from generated_hits o where o.sent = h.sent and o.s < h.e and h.s < o.e and o.e - o.s > h.e - h.s)",
+    "gold_leakage": "select count(*) filter (expected = 'absent') as n_absent, count(*) filter (expected = 'absent' and got = 'present') as absent_to_present, count(*) filter (expected = 'family' and got = 'present') as family_to_present, round(count(*) filter (expected = 'absent' and got = 'present') / nullif(count(*) filter (expected = 'absent'), 0), 6) as absent_rate from outcomes where outcome in ('exact', 'wrong_assertion')",
+    "patient_conditions": "select cast(note_id as varchar) as note_id, lower(text) as text from numbered where kind = 'condition' and layered not in ('family', 'hypothetical')",
+    "fhir_bundle_entries": """select bundle_id, 'collection' as bundle_type, cast(row_number() over (partition by bundle_id order by n) - 1 as integer) as ord, resource_type, id, subject, text, code, cast(n_conditions as integer) as n_conditions from (
+      select cast(note_id as varchar) as bundle_id, n, case kind when 'medication' then 'MedicationStatement' when 'allergy' then 'AllergyIntolerance' else 'Condition' end as resource_type, note_id || '-' || n as id, 'Patient/' || patient_id as subject, text, code, 0 as n_conditions from numbered where kind <> 'condition' or layered not in ('family', 'hypothetical')
+      union all select cast(note_id as varchar), max(n) + 1, 'FamilyMemberHistory', note_id || '-fmh', 'Patient/' || any_value(patient_id), null, null, count(*) filter (kind = 'condition' and layered = 'family') from numbered group by note_id having count(*) filter (kind = 'condition' and layered = 'family') > 0)""",
     "service_totals": "select count(*) as n_documents, count(*) filter (not ok) as n_failed, cast(sum(coalesce(n_entities, 0)) as bigint) as n_entities from answers",
     "gold_confusion_margins": "select case when grouping(expected) = 1 then 'all' else expected end as true_assertion, case when grouping(got) = 1 then 'all' else got end as got, count(*) as n from outcomes where outcome in ('exact', 'wrong_assertion') group by cube (expected, got)",
     "section_summary": """select case when grouping(arguable) = 1 then 'all' when arguable then 'arguable' else 'core' end as set, count(*) as n, round(avg(without::int), 6) as without, round(avg(with_::int), 6) as "with", count(*) filter (with_ and not without) as fixed, count(*) filter (without and not with_) as broken, cast(sum(n_changes) as bigint) as n_changes

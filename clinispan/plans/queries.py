@@ -113,6 +113,20 @@ def fhir_allergies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fhir.allergies(_resources(spark, sf_dir)).select("id", F.col("patient.reference").alias("patient"), F.col("code.text").alias("text"), F.get("clinicalStatus.coding", F.lit(0))["code"].alias("clinical_status"), F.get("verificationStatus.coding", F.lit(0))["code"].alias("verification_status"), "assertion")
 
 
+def fhir_bundle_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in the Bundles' JSON, entry by entry, read back from it."""
+    named = "struct<text:string,coding:array<struct<code:string>>>"
+    shape = f"id string, type string, entry array<struct<resource:struct<resourceType:string,id:string,subject:struct<reference:string>,patient:struct<reference:string>,code:{named},medicationCodeableConcept:{named},condition:array<struct<code:{named}>>>>>"
+    read = fhir.bundles(_layered(spark, sf_dir)).select(F.from_json("json", shape).alias("b")).select("b.id", "b.type", F.posexplode_outer("b.entry").alias("ord", "e")).where("e is not null")
+    r = F.col("e.resource")
+    concept = F.coalesce(r["code"], r["medicationCodeableConcept"])
+    return read.select(F.col("id").alias("bundle_id"), F.col("type").alias("bundle_type"), "ord", r["resourceType"].alias("resource_type"), r["id"].alias("id"), F.coalesce(r["subject"]["reference"], r["patient"]["reference"]).alias("subject"), concept["text"].alias("text"), F.get(concept["coding"], F.lit(0))["code"].alias("code"), F.coalesce(F.size(r["condition"]), F.lit(0)).alias("n_conditions"))
+
+
+def patient_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fhir.patient_conditions(fhir.resources(_layered(spark, sf_dir)))
+
+
 def fhir_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fhir.family_history(_layered(spark, sf_dir)).select("id", F.size("condition").cast("long").alias("n_conditions"), F.get("condition", F.lit(0))["code"]["text"].alias("first_text"))
 
@@ -179,6 +193,11 @@ def gold_confusion_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.confusion_margins(evaluate.match_tables(*_sides(spark, sf_dir)))
 
 
+def gold_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Denied and family findings that come out as present, here those that sections made so of what sentences left as present."""
+    return evaluate.leakage(evaluate.match_tables(*_sides(spark, sf_dir)))
+
+
 def section_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pass rates over the notes: expected is what the sections give, but in every third note what the sentences give; every fifth is arguable."""
 
@@ -301,6 +320,9 @@ def queries() -> dict[str, Query]:
         "gold_errors_by_tables": gold_errors_by_tables,
         "gold_confusion_margins": gold_confusion_margins,
         "section_summary": section_summary,
+        "gold_leakage": gold_leakage,
+        "fhir_bundle_entries": fhir_bundle_entries,
+        "patient_conditions": patient_conditions,
         "service_totals": service_totals,
         "fhir_lint_broken": fhir_lint_broken,
     }

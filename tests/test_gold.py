@@ -92,3 +92,26 @@ def test_own_gold_has_the_scores_it_had(spark):
     assert got == {(12, "wrong_assertion"): "lexicon", (16, "wrong_assertion"): None, (17, "missed"): None} and wrong.count() == 3
     classes = evaluate.distinct_classes(found.select("expected.assertion").select(F.explode("assertion").alias("expected")), "expected").first()
     assert classes["expected_classes"] == 6
+
+
+#: Own documents with sections: text, (concept, assertion) of each condition as a reader would have it, and whether readers may differ.
+OWN_SECTIONS = [
+    ("PAST MEDICAL HISTORY: asthma.\nASSESSMENT AND PLAN: pneumonia.", [("asthma", "historical"), ("pneumonia", "present")], False),
+    ("FAMILY HISTORY: stroke, asthma.\nHPI: cough.", [("stroke", "family"), ("asthma", "family"), ("cough", "present")], False),
+    ("FH: no stroke.\nHPI: denies fever.", [("stroke", "family"), ("fever", "absent")], True),
+    ("PMH: no asthma. Had stroke.", [("asthma", "absent"), ("stroke", "historical")], False),
+    ("HPI: fever and cough.\nIMPRESSION: sepsis.", [("fever", "present"), ("cough", "present"), ("sepsis", "present")], False),
+    ("Seen for cough.\nPMH: anemia; on iron.", [("cough", "present"), ("anemia", "historical")], False),
+    ("MEDICATIONS: metformin 500 mg daily.\nA/P: return if fever.", [("fever", "hypothetical")], False),
+    ("PMH: asthma, currently wheezing with pneumonia.", [("asthma", "historical"), ("pneumonia", "present")], True),
+    ("Nothing new today.", [], False),
+    ("PSH: none.\nFAMILY HISTORY: father had colon cancer.\nPLAN: possible UTI.", [("colon_cancer", "family"), ("uti", "possible")], False),
+]
+
+
+def test_own_section_gold_has_the_scores_it_had(spark):
+    """A present finding among past ones is where the sections err; core documents are all right with them."""
+    scores = evaluate.section_scores(notes.section_gold(spark, OWN_SECTIONS)).cache()
+    got = {r["set"]: r for r in evaluate.section_summary(scores).collect()}
+    assert {k: (v["n"], v["without"], v["with"], v["fixed"], v["broken"]) for k, v in got.items()} == {"all": (10, 0.8, 0.9, 1, 0), "core": (8, 0.875, 1.0, 1, 0), "arguable": (2, 0.5, 0.5, 0, 0)}
+    assert [r["case_id"] for r in scores.where("not pass_with").collect()] == [7]
