@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinispan.llm import tokens
-from clinispan.llm.scratch import drop, join_counted, small, table
+from clinispan.llm.scratch import BROADCAST_ROWS, drop, join_counted, small, table
 
 #: Words in an anchor; a window of k words holds k - ANCHOR + 1 places for one. Less for k under twice as long.
 ANCHOR = 12
@@ -134,7 +134,10 @@ def remove_repeats(docs: DataFrame, k: int = 50) -> DataFrame:
     own = whole.join(small(copies), _KEY, "left_anti")
     anchors = own.select(*_KEY, F.explode(F.arrays_zip("h", "at")).alias("x")).select(*_KEY, "x.h", "x.at")
     shared = table(anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("h", "n"))
-    hits = table(join_counted(anchors, shared, "h", "n").groupBy(*_KEY).agg(F.collect_set("at").alias("at")))
+    # join_counted() shuffles the anchors of all texts from fewer keys on than are broadcast here.
+    few = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = anchors.join(F.broadcast(shared.select("h")), "h", "left_semi") if few else join_counted(anchors, shared, "h", "n")
+    hits = table(met.groupBy(*_KEY).agg(F.collect_set("at").alias("at")))
     run, schema = _near_anchors(k, short)
     texts = own.select(*_KEY, "words").join(small(hits.select(*_KEY)), _KEY, "left_semi")
     found = table(texts.join(hits, _KEY).select(*_KEY, "words", "at").mapInArrow(run, schema))
