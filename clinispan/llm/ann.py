@@ -2,8 +2,10 @@
 
 Centroids and codebooks are fitted on a bounded sample in the driver; every vector is then assigned and encoded in tasks. A
 query probes the cells whose centroids are nearest, as many as the true neighbours of some queries, found by brute force, turn
-out to need; in each block of a cell, asymmetric distance tables rank the codes, and the best, with all that tie with the last of
-them, are ranked again by exact distance. Cells and their queries are dealt out in blocks, so a crowded cell is no hot group.
+out to need. Neighbouring cells make a shard, to which a query is sent once, with the cells that it probes there; asymmetric distance
+tables rank their codes, and the best, with all that tie with the last of them, are ranked again by exact distance. Shards and their
+queries are dealt out in blocks, so a crowded cell is no hot group. Vectors go with the codes, so that ties among very many near copies
+are ranked where they lie, and a block gives no more than k rows a query.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinispan.llm.scratch import table
+from clinispan.llm.scratch import drop, table
 
 _ROW = "vec_id long, cell int, code binary, vector array<double>"
 
@@ -26,8 +28,8 @@ class Settings:
     """sample: vectors to fit on, at most; lists: coarse centroids, at most (the square root of the rows, if fewer); width:
     components in a subspace; probes: cells for a query, at least; recall: share of the true neighbours that the probed cells must hold
     (more are probed until they do); trials: queries that this is measured on, at most; wanted: rows that these must hold, or more cells are
-    probed; rerank: codes of a block that are ranked exactly, ties with the last besides; block: vectors (or queries) of a cell in a task;
-    rounds: of k-means; seed."""
+    probed; rerank: codes of a block that are ranked exactly, ties with the last besides; block: vectors of a task, and of a shard unless one
+    cell has more; asked: queries of a task; rounds: of k-means; seed."""
 
     sample: int = 40_000
     lists: int = 4096
@@ -37,7 +39,8 @@ class Settings:
     trials: int = 256
     wanted: int = 1_000
     rerank: int = 200
-    block: int = 4_096
+    block: int = 16_384
+    asked: int = 4_096
     rounds: int = 12
     seed: int = 17
 
@@ -111,20 +114,41 @@ def _encode(held, width: int):
     return run
 
 
-def _probe(held, sizes: np.ndarray, probes: int, wanted: int):
+def _shards(centroids: np.ndarray, sizes: np.ndarray, block: int) -> np.ndarray:
+    """The shard of each cell: cells halved at the median of their widest component, until a shard has one cell or block vectors at most."""
+    shard, todo, last = np.zeros(len(centroids), dtype=np.int32), [np.arange(len(centroids))], 0
+    while todo:
+        cells = todo.pop()
+        if len(cells) > 1 and sizes[cells].sum() > block:
+            cells = cells[np.argsort(centroids[cells, np.ptp(centroids[cells], axis=0).argmax()], kind="stable")]
+            todo += [cells[: len(cells) // 2], cells[len(cells) // 2 :]]
+        else:
+            shard[cells] = last
+            last += 1
+    return shard
+
+
+def _probe(held, sizes: np.ndarray, shards: np.ndarray, probes: int, wanted: int):
+    """A row for each query and shard that it probes cells of."""
+    schema = pa.schema([("query_id", pa.int64()), ("query", pa.list_(pa.float64())), ("shard", pa.int32()), ("cells", pa.list_(pa.int32()))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = held.value.centroids
         for batch in batches:
-            x = _matrix(batch.column(1)).astype(np.float32)
-            rows, cells = [], []
-            for i, q in enumerate(x):
+            rows, at, cells, ends = [], [], [], [0]
+            for i, q in enumerate(_matrix(batch.column(1)).astype(np.float32)):
                 order = np.argsort(((to - q) ** 2).sum(1), kind="stable")
                 last = max(probes, int(np.searchsorted(np.cumsum(sizes[order]), wanted)) + 1)
                 order = order[:last][sizes[order[:last]] > 0]
-                rows.append(np.full(len(order), i))
+                order = order[np.argsort(shards[order], kind="stable")]
+                which, count = np.unique(shards[order], return_counts=True)
+                rows += [i] * len(which)
+                at += which.tolist()
                 cells.append(order)
-            at = pa.array(np.concatenate(rows) if rows else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(cells) if cells else [], pa.int32())], names=["query_id", "query", "cell"])
+                ends += (ends[-1] + np.cumsum(count)).tolist()
+            taken = pa.array(rows, pa.int64())
+            probed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cells) if cells else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken).cast(schema[1].type), pa.array(at, pa.int32()), probed], schema=schema)
 
     return run
 
@@ -167,6 +191,20 @@ def probes_needed(asked: DataFrame, rows: DataFrame, model: Model, k: int, setti
     return max(settings.probes, int(needed[max(0, int(np.ceil(settings.recall * len(needed))) - 1)])) if len(needed) else settings.probes
 
 
+def _rough(model: Model, q: np.ndarray, cells: np.ndarray, codes: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """Squared distances by tables of q to the codes, which lie cell by cell, those of cells[i] from first[i] to first[i + 1]."""
+    out, places = np.empty(len(codes), dtype=np.float32), np.arange(codes.shape[1])
+    norms = (model.books * model.books).sum(2)
+    for low in range(0, len(cells), 64):
+        part = cells[low : low + 64]
+        rest = _split(q - model.centroids[part], width)
+        tables = norms[None] - 2 * np.einsum("csw,skw->csk", rest, model.books) + (rest * rest).sum(2)[:, :, None]
+        a, b = first[low], first[low + len(part)]
+        own = np.repeat(np.arange(len(part)), np.diff(first[low : low + len(part) + 1]))
+        out[a:b] = tables[own[:, None], places, codes[a:b]].sum(1)
+    return out
+
+
 def _search(held, width: int, k: int, rerank: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -174,16 +212,18 @@ def _search(held, width: int, k: int, rerank: int):
         if not len(queries) or not len(rows):
             return schema.empty_table()
         model: Model = held.value
-        ids, x = np.asarray(rows.column("vec_id")), _matrix(rows.column("vector"))
-        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        centroid, places, out = model.centroids[rows.column("cell")[0].as_py()], np.arange(codes.shape[1]), []
-        for query_id, q in zip(queries.column("query_id").to_pylist(), _matrix(queries.column("query")), strict=True):
-            parts = _split((q.astype(np.float32) - centroid)[None], width)[0]
-            tables = ((model.books - parts[:, None, :]) ** 2).sum(2)
-            rough = tables[places, codes].sum(1)
-            rough[ids == query_id] = np.inf
-            best = np.flatnonzero(rough <= np.partition(rough, rerank - 1)[rerank - 1]) if len(rough) > rerank else np.arange(len(rough))
-            best = best[ids[best] != query_id]
+        cell = np.asarray(rows.column("cell"))
+        by_cell = np.argsort(cell, kind="stable")
+        cell, ids, x = cell[by_cell], np.asarray(rows.column("vec_id"))[by_cell], _matrix(rows.column("vector"))[by_cell]
+        codes, out = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[by_cell], []
+        for query_id, q, cells in zip(queries.column("query_id").to_pylist(), _matrix(queries.column("query")), queries.column("cells").to_pylist(), strict=True):
+            cells = np.sort(np.array(cells))
+            low, high = np.searchsorted(cell, cells), np.searchsorted(cell, cells, "right")
+            at = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
+            rough = _rough(model, q.astype(np.float32), cells, codes[at], np.concatenate([[0], np.cumsum(high - low)]), width)
+            other = ids[at] != query_id
+            at, rough = at[other], rough[other]
+            best = at[rough <= np.partition(rough, rerank - 1)[rerank - 1]] if len(at) > rerank else at
             exact = np.sqrt(((x[best] - q) ** 2).sum(1))
             order = np.lexsort((ids[best], exact))[:k]
             out.append((np.full(len(order), query_id), ids[best][order], exact[order]))
@@ -207,34 +247,47 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, settings: Settin
     for length, n in sorted((r["length"], r["count"]) for r in every.groupBy("length").count().collect()):
         own = asked.where(F.col("length") == length).drop("length")
         out = out.union(_search_length(every.where(F.col("length") == length).drop("length"), own, n, k, settings))
+    for df in (every, asked):
+        drop(df)
     return out
 
 
 def _search_length(base: DataFrame, asked: DataFrame, n: int, k: int, settings: Settings) -> DataFrame:
     """search() among the n vectors of base (vec_id, vector), all of one length, for asked (query_id, query)."""
-    spark = base.sparkSession
+    spark, made = base.sparkSession, []
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.append(out := table(df))
+        return out
+
     held = spark.sparkContext.broadcast(fit(base, n, settings))
-    rows = table(base.mapInArrow(_encode(held, settings.width), _ROW))
+    rows = keep(base.mapInArrow(_encode(held, settings.width), _ROW))
     sizes = np.zeros(len(held.value.centroids), dtype=np.int64)
     for r in rows.groupBy("cell").count().collect():
         sizes[r["cell"]] = r["count"]
 
+    shards = _shards(held.value.centroids, sizes, settings.block)
+    counts = spark.createDataFrame([(int(s), int(v)) for s, v in enumerate(np.bincount(shards, sizes)) if v], "shard int, vectors long")
+    of_cell = F.broadcast(spark.createDataFrame([(int(c), int(shards[c])) for c in np.flatnonzero(sizes)], "cell int, shard int"))
+
     def found(asked: DataFrame, probes: int, wanted: int) -> DataFrame:
-        probed = table(asked.mapInArrow(_probe(held, sizes, probes, wanted), "query_id long, query array<double>, cell int"))
-        load = probed.groupBy("cell").count().withColumnRenamed("count", "queries")
-        counts = spark.createDataFrame([(int(c), int(sizes[c])) for c in np.flatnonzero(sizes)], "cell int, vectors long")
-        deal = F.broadcast(table(counts.join(load, "cell").select("cell", F.ceil(F.col("vectors") / settings.block).cast("int").alias("nv"), F.ceil(F.col("queries") / settings.block).cast("int").alias("nq"))))
-        v = rows.join(deal, "cell").withColumn("vb", F.expr("pmod(xxhash64(vec_id), nv)")).withColumn("qb", F.explode(F.expr("sequence(0L, nq - 1L)")))
-        q = probed.join(deal, "cell").withColumn("qb", F.expr("pmod(xxhash64(query_id), nq)")).withColumn("vb", F.explode(F.expr("sequence(0L, nv - 1L)")))
-        key = ["cell", "vb", "qb"]
-        both = q.select(*key, "query_id", "query").groupBy(*key).cogroup(v.select(*key, "vec_id", "code", "vector").groupBy(*key))
+        probed = asked.mapInArrow(_probe(held, sizes, shards, probes, wanted), "query_id long, query array<double>, shard int, cells array<int>")
+        load = probed.groupBy("shard").agg(F.count("*").alias("queries"))
+        deal = keep(counts.join(load, "shard").select("shard", F.ceil(F.col("vectors") / settings.block).cast("int").alias("nv"), F.ceil(F.col("queries") / settings.asked).cast("int").alias("nq")))
+        v = rows.join(of_cell, "cell").join(F.broadcast(deal), "shard").withColumn("vb", F.expr("pmod(xxhash64(vec_id), nv)")).withColumn("qb", F.explode(F.expr("sequence(0L, nq - 1L)")))
+        q = probed.join(F.broadcast(deal), "shard").withColumn("qb", F.expr("pmod(xxhash64(query_id), nq)")).withColumn("vb", F.explode(F.expr("sequence(0L, nv - 1L)")))
+        key = ["shard", "vb", "qb"]
+        both = q.select(*key, "query_id", "query", "cells").groupBy(*key).cogroup(v.select(*key, "vec_id", "cell", "code", "vector").groupBy(*key))
         hits = both.applyInArrow(_search(held, settings.width, k, settings.rerank), "query_id long, vec_id long, score double")
         ranked = hits.withColumn("rank", F.expr("row_number() over (partition by query_id order by score, vec_id)"))
-        return table(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+        return keep(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
     hits = found(asked, probes_needed(asked, rows, held.value, k, settings), settings.wanted)
     full = hits.groupBy("query_id").count().where(F.col("count") >= k)
-    short = table(asked.join(full, "query_id", "left_anti"))
+    short = keep(asked.join(full, "query_id", "left_anti"))
     if n > settings.wanted and not short.isEmpty():
         hits = hits.join(short.select("query_id"), "query_id", "left_anti").union(found(short, len(sizes), n))
-    return hits
+    out = table(hits)
+    for df in made:
+        drop(df)
+    return out
