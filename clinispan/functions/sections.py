@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clinispan import lexicon
-from clinispan.functions.text import let
+from clinispan.functions.text import let, map_of
 
 _ALIASES = dict(lexicon.pairs(lexicon.SECTION_ALIASES))
 _NAMES = sorted(_ALIASES, key=len, reverse=True)
@@ -19,13 +19,9 @@ SECTIONS = "array<struct<section:string,start:int,end:int>>"
 PREAMBLE = "preamble"
 
 
-def literal_map(entries: Mapping) -> Column:
-    return F.create_map(*(F.lit(x) for pair in entries.items() for x in pair))
-
-
 def section_spans(text: Column) -> Column:
     """array<struct<section, start, end>>: bodies from a header's end to the next header; a preamble before the first; all of the text is one without headers."""
-    aliases = literal_map(_ALIASES)
+    aliases = map_of(_ALIASES)
 
     def spans(parts: Column, heads: Column, names: Column) -> Column:
         def add(state: Column, i: Column) -> Column:
@@ -52,8 +48,8 @@ def section_at(spans: Column, offset: Column) -> Column:
 
 def section_default(section: Column, defaults: Mapping[str, str] = lexicon.SECTION_DEFAULT) -> Column:
     """The assertion that a section implies, null for none."""
-    return F.try_element_at(literal_map(defaults), section)
+    return F.try_element_at(map_of(defaults), section)
 
 
 def section_authority(section: Column, authority: Mapping[str, int] = lexicon.SECTION_AUTHORITY) -> Column:
-    return F.coalesce(F.try_element_at(literal_map(authority), section), F.lit(lexicon.OTHER_AUTHORITY))
+    return F.coalesce(F.try_element_at(map_of(authority), section), F.lit(lexicon.OTHER_AUTHORITY))

@@ -5,7 +5,7 @@ Offsets are code points from 0, half-open. Everything is a Spark expression, so
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,11 +87,31 @@ def positions(text: Column, phrase: Column, word: str) -> Column:
     return let(parts, starts)
 
 
+def constant(value: str | int | None) -> str:
+    """SQL for a value. Tables of many are given to the JVM as one text, since a call for each of their values takes longer than the query."""
+    if value is None:
+        return "null"
+    if not isinstance(value, str):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
+
+
+def array_of(values: Sequence[str | int | None]) -> Column:
+    """A literal array."""
+    return F.expr(f"array({', '.join(map(constant, values))})")
+
+
+def map_of(entries: Mapping) -> Column:
+    """A literal map."""
+    return F.expr(f"map({', '.join(constant(x) for pair in entries.items() for x in pair)})")
+
+
 def table_of(rows: Sequence[tuple], names: Sequence[str]) -> Column:
     """A literal array of structs, folded once for the whole query."""
     if not rows:
         return F.array().cast(f"array<struct<{', '.join(f'{n}:string' for n in names)}>>")
-    return F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(row, names, strict=True))) for row in rows))
+    structs = (", ".join(f"{constant(n)}, {constant(v)}" for n, v in zip(names, row, strict=True)) for row in rows)
+    return F.expr(f"array({', '.join(f'named_struct({s})' for s in structs)})")
 
 
 def phrase_spans(text: Column, table: Column, word: str, extra: Sequence[str] = ()) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clinispan import lexicon
 from clinispan.functions import context, sections, text
-from clinispan.functions.sections import literal_map
+from clinispan.functions.text import map_of
 
 KINDS = ("condition", "medication", "allergy")
 #: The dictionaries by kind: phrases by concept.
@@ -31,7 +31,7 @@ def _hits(low: Column, dictionaries: Mapping[str, Mapping[str, Sequence[str]]] =
 
 def _code(kind: Column, concept: Column, terminologies: Mapping[str, tuple[str, Mapping[str, tuple[str, str]]]]) -> Column:
     """struct<code_system, code, code_display>, nulls for a concept without a code."""
-    table = literal_map({f"{k}/{c}": f"{s}\0{code}\0{show}" for k, (s, codes) in terminologies.items() for c, (code, show) in codes.items()})
+    table = map_of({f"{k}/{c}": f"{s}\0{code}\0{show}" for k, (s, codes) in terminologies.items() for c, (code, show) in codes.items()})
     found = F.split(F.try_element_at(table, F.concat(kind, F.lit("/"), concept)), "\0")
     return F.struct(*(F.get(found, F.lit(i)).alias(n) for i, n in enumerate(("code_system", "code", "code_display"))))
 
@@ -49,7 +49,7 @@ def _entities(sentence: Column, sent_id: Column, terminologies: Mapping[str, tup
 
 
 def _by_start(a: Column, b: Column) -> Column:
-    rank = literal_map({k: i for i, k in enumerate(KINDS)})
+    rank = map_of({k: i for i, k in enumerate(KINDS)})
     return F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(F.element_at(rank, a["kind"]) - F.element_at(rank, b["kind"]))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinispan.functions.sections import literal_map
+from clinispan.functions.text import map_of
 
 # Code systems, and the statuses that assertions become.
 SYSTEMS = {"SNOMED-CT": "http://snomed.info/sct", "RxNorm": "http://www.nlm.nih.gov/research/umls/rxnorm"}
@@ -25,7 +25,7 @@ DROPPED_REASON = "conditional instruction, not a finding; emitting it would put
 
 def _concept(e: Column) -> Column:
     """A CodeableConcept: the words of the text always, a coding if the concept has a code."""
-    system = F.try_element_at(literal_map(SYSTEMS), e["code_system"])
+    system = F.try_element_at(map_of(SYSTEMS), e["code_system"])
     coding = F.struct(system.alias("system"), e["code"].alias("code"), e["code_display"].alias("display"))
     return F.struct(e["text"].alias("text"), F.when(e["code"].isNotNull(), F.array(coding)).alias("coding"))
 
@@ -46,8 +46,8 @@ def numbered(docs: DataFrame, note: str = "note_id", patient: str | None = "pati
 
 
 def _condition(e: Column) -> list[Column]:
-    clinical = F.try_element_at(literal_map(CLINICAL_STATUS), e["assertion"])
-    verification = F.try_element_at(literal_map(VERIFICATION_STATUS), e["assertion"])
+    clinical = F.try_element_at(map_of(CLINICAL_STATUS), e["assertion"])
+    verification = F.try_element_at(map_of(VERIFICATION_STATUS), e["assertion"])
     source = F.array(_reference("DocumentReference/", F.col("note_id")))
     return [F.lit("Condition").alias("resourceType"), F.col("id"), _reference("Patient/", F.col("patient_id")).alias("subject"), _concept(e).alias("code"), _status(CONDITION_VERIFICATION, verification).alias("verificationStatus"), F.array(F.struct(source.alias("detail"))).alias("evidence"), _status(CONDITION_CLINICAL, clinical).alias("clinicalStatus")]
 
@@ -59,7 +59,7 @@ def _medication(e: Column) -> list[Column]:
     rate = F.when(a["dose"].isNotNull(), F.array(F.struct(quantity.alias("doseQuantity"))))
     dosage = F.struct(rate.alias("doseAndRate"), F.when(a["route"].isNotNull(), F.struct(a["route"].alias("text"))).alias("route"), a["frequency"].alias("text"), F.when(needed, F.lit(True)).alias("asNeededBoolean"))
     some = a["dose"].isNotNull() | a["route"].isNotNull() | a["frequency"].isNotNull() | needed
-    status = F.try_element_at(literal_map(MEDICATION_STATUS), e["assertion"])
+    status = F.try_element_at(map_of(MEDICATION_STATUS), e["assertion"])
     return [F.lit("MedicationStatement").alias("resourceType"), F.col("id"), _reference("Patient/", F.col("patient_id")).alias("subject"), status.alias("status"), _concept(e).alias("medicationCodeableConcept"), F.array(_reference("DocumentReference/", F.col("note_id"))).alias("derivedFrom"), F.when(some, F.array(dosage)).alias("dosage")]
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinispan import lexicon
+from clinispan.functions.text import array_of
 
 _FORWARD = [p for t in (lexicon.NEGATION_FORWARD, lexicon.FAMILY, lexicon.HISTORICAL, lexicon.HYPOTHETICAL, lexicon.POSSIBLE) for p in dict.fromkeys(t)]
 _BACKWARD = [p for t in (lexicon.NEGATION_BACKWARD, lexicon.HISTORICAL_BACKWARD, lexicon.HYPOTHETICAL_BACKWARD, lexicon.POSSIBLE_BACKWARD) for p in dict.fromkeys(t)]
@@ -31,7 +32,7 @@ class Pick:
 
     def spark(self, key: Column) -> Column:
         at = F.pmod(key * self.step + F.floor(key / self.every) + self.shift, F.lit(len(self.items)))
-        return F.element_at(F.array(*map(F.lit, self.items)), (at + 1).cast("int"))
+        return F.element_at(array_of(self.items), (at + 1).cast("int"))
 
     def duckdb(self, key: str) -> str:
         quoted = ", ".join("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in self.items)

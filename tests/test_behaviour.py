@@ -200,3 +200,11 @@ def test_tables_of_ones_own(spark):
     row = reconcile.with_decisions(docs, authority={"assessment_and_plan": 5}).first()
     assert [(e["concept"], e["assertion"], e["code"]) for e in row["entities"]] == [("gout", "absent", "1"), ("gout", "historical", "1")]
     assert row["policy"] == reconcile.POLICY and row["n_conflicts"] == 1
+
+
+def test_literal_tables_hold_any_text(spark):
+    """Quotes, escapes, variables, control characters and comments come back as they are."""
+    values = ["it's", "a\\b", "\\'", "${x}", "$", "a\0b", "line\nbreak", "%_\\%", "é\U0001f600", "", "\\u0041", '"q"', "--c", "/*", None]
+    numbered = {v: i for i, v in enumerate(values[:-1])}
+    got = spark.range(1).select(text.array_of(values).alias("a"), text.map_of(numbered).alias("m"), text.table_of([(v, 1) for v in values], ("p", "n")).alias("t"), text.map_of({}).alias("e")).first()
+    assert got["a"] == values and got["m"] == numbered and [(r["p"], r["n"]) for r in got["t"]] == [(v, 1) for v in values] and got["e"] == {}
