@@ -289,7 +289,7 @@ def queries() -> dict[str, Query]:
         "reconcile_decisions": lambda s, d: reconcile.decisions(_decided(s, d)).select(*decided),
         "reconcile_rows": lambda s, d: reconcile.rows(_decided(s, d)),
         "reconcile_all_rows": lambda s, d: reconcile.rows(_decided(s, d), include_unresolved=True),
-        "reconcile_counts": lambda s, d: _decided(s, d).where("n_concepts > 0").select("note_id", *(F.col(c).cast("long").alias(c) for c in ("n_concepts", "n_conflicts", "n_unresolved"))),
+        "reconcile_counts": lambda s, d: _decided(s, d).select("note_id", F.inline_outer(F.array(F.struct(*(F.col(c).cast("long").alias(c) for c in ("n_concepts", "n_conflicts", "n_unresolved")))))).where("n_concepts > 0"),
         "reconcile_disagreements": lambda s, d: reconcile.decisions(_decided(s, d)).select("note_id", "concept", "experiencer", F.explode_outer("disagreement").alias("x")).where("x is not null").select("note_id", "concept", "experiencer", "x.section", "x.presence"),
         "fhir_conditions": fhir_conditions,
         "fhir_medications": fhir_medications,
