@@ -3,9 +3,13 @@
 Centroids and codebooks are fitted on a bounded sample in the driver; every vector is then assigned and encoded in tasks. A
 query probes the cells whose centroids are nearest, as many as the true neighbours of some queries, found by brute force, turn
 out to need. Neighbouring cells make a shard, to which a query is sent once, with the cells that it probes there; asymmetric distance
-tables rank their codes, and the best, with all that tie with the last of them, are ranked again by exact distance. Shards and their
+tables rank their codes, and all that may be among the k nearest are ranked again by exact distance. Shards and their
 queries are dealt out in blocks, so a crowded cell is no hot group. Vectors go with the codes, so that ties among very many near copies
 are ranked where they lie, and a block gives no more than k rows a query.
+
+How far a vector lies from its code is kept with it. A row whose code is farther from the query than that and the k-th least upper bound together cannot
+be among the k nearest; all others are ranked exactly, so of the probed rows none is missed, however badly the codes fit. Cells and codes are made
+of centred and scaled components in double precision: neither large values nor a large common offset drown the differences.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from clinispan.llm.scratch import drop, table
 
-_ROW = "vec_id long, cell int, code binary, vector array<double>"
+_ROW = "vec_id long, cell int, code binary, off double, vector array<double>"
 
 
 @dataclass(frozen=True)
@@ -28,7 +32,7 @@ class Settings:
     """sample: vectors to fit on, at most; lists: coarse centroids, at most (the square root of the rows, if fewer); width:
     components in a subspace; probes: cells for a query, at least; recall: share of the true neighbours that the probed cells must hold
     (more are probed until they do); trials: queries that this is measured on, at most; wanted: rows that these must hold, or more cells are
-    probed; rerank: codes of a block that are ranked exactly, ties with the last besides; block: vectors of a task, and of a shard unless one
+    probed; rerank: codes of a block that are ranked exactly, at least; block: vectors of a task, and of a shard unless one
     cell has more; asked: queries of a task; rounds: of k-means; seed."""
 
     sample: int = 40_000
@@ -49,6 +53,11 @@ class Settings:
 class Model:
     centroids: np.ndarray
     books: np.ndarray  # subspace, code, component
+    shift: np.ndarray
+    scale: float
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return x / self.scale - self.shift
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -83,11 +92,16 @@ def fit(vectors: DataFrame, n: int, settings: Settings = Settings()) -> Model:
     """Fit on at most settings.sample of the n rows of vectors, picked by the hash of their ids."""
     share = min(1.0, settings.sample / max(n, 1))
     picked = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * settings.sample).toArrow()
-    x = np.array(picked.column("vector").combine_chunks().flatten()).reshape(len(picked), -1).astype(np.float32)[: settings.sample]
+    x = np.array(picked.column("vector").combine_chunks().flatten()).reshape(len(picked), -1)[: settings.sample]
+    # Medians, as a single vast vector would make all others one point.
+    scale = float(np.median(np.abs(x))) or float(np.abs(x).max())
+    x = x / scale
+    shift = np.median(x, axis=0)
+    x = x - shift
     rng = np.random.default_rng(settings.seed)
     centroids = _k_means(x, max(1, min(settings.lists, int(n**0.5))), settings.rounds, rng)
     parts = _split(x - centroids[_nearest(x, centroids)], settings.width)
-    return Model(centroids, np.stack([_pad(_k_means(np.ascontiguousarray(parts[:, s]), 256, settings.rounds, rng)) for s in range(parts.shape[1])]))
+    return Model(centroids, np.stack([_pad(_k_means(np.ascontiguousarray(parts[:, s]), 256, settings.rounds, rng)) for s in range(parts.shape[1])]), shift, scale)
 
 
 def _pad(book: np.ndarray) -> np.ndarray:
@@ -105,11 +119,12 @@ def _encode(held, width: int):
         for batch in batches:
             if not len(batch):
                 continue
-            x = _matrix(batch.column(1)).astype(np.float32)
+            x = model.scaled(_matrix(batch.column(1)))
             cells = _nearest(x, model.centroids)
             parts = _split(x - model.centroids[cells], width)
             codes = np.stack([_nearest(np.ascontiguousarray(parts[:, s]), book) for s, book in enumerate(model.books)], axis=1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1)], names=["vec_id", "cell", "code", "vector"])
+            off = np.sqrt(((parts - model.books[np.arange(len(model.books)), codes]) ** 2).sum((1, 2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), batch.column(1)], names=["vec_id", "cell", "code", "off", "vector"])
 
     return run
 
@@ -136,7 +151,7 @@ def _probe(held, sizes: np.ndarray, shards: np.ndarray, probes: int, wanted: int
         to = held.value.centroids
         for batch in batches:
             rows, at, cells, ends = [], [], [], [0]
-            for i, q in enumerate(_matrix(batch.column(1)).astype(np.float32)):
+            for i, q in enumerate(held.value.scaled(_matrix(batch.column(1)))):
                 order = np.argsort(((to - q) ** 2).sum(1), kind="stable")
                 last = max(probes, int(np.searchsorted(np.cumsum(sizes[order]), wanted)) + 1)
                 order = order[:last][sizes[order[:last]] > 0]
@@ -186,14 +201,14 @@ def probes_needed(asked: DataFrame, rows: DataFrame, model: Model, k: int, setti
     trial = rows.sparkSession.sparkContext.broadcast((few.column("query_id").to_pylist(), q))
     near = rows.select("vec_id", "cell", "vector").mapInArrow(_true_cells(trial, k), "trial int, score double, vec_id long, cell int")
     near = near.withColumn("rank", F.expr("row_number() over (partition by trial order by score, vec_id)")).where(F.col("rank") <= k).select("trial", "cell").toArrow()
-    place = np.stack([np.argsort(np.argsort(((model.centroids - x) ** 2).sum(1), kind="stable")) for x in q.astype(np.float32)])
+    place = np.stack([np.argsort(np.argsort(((model.centroids - x) ** 2).sum(1), kind="stable")) for x in model.scaled(q)])
     needed = np.sort(place[np.asarray(near.column("trial")), np.asarray(near.column("cell"))]) + 1
     return max(settings.probes, int(needed[max(0, int(np.ceil(settings.recall * len(needed))) - 1)])) if len(needed) else settings.probes
 
 
 def _rough(model: Model, q: np.ndarray, cells: np.ndarray, codes: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
     """Squared distances by tables of q to the codes, which lie cell by cell, those of cells[i] from first[i] to first[i + 1]."""
-    out, places = np.empty(len(codes), dtype=np.float32), np.arange(codes.shape[1])
+    out, places = np.empty(len(codes)), np.arange(codes.shape[1])
     norms = (model.books * model.books).sum(2)
     for low in range(0, len(cells), 64):
         part = cells[low : low + 64]
@@ -214,16 +229,20 @@ def _search(held, width: int, k: int, rerank: int):
         model: Model = held.value
         cell = np.asarray(rows.column("cell"))
         by_cell = np.argsort(cell, kind="stable")
-        cell, ids, x = cell[by_cell], np.asarray(rows.column("vec_id"))[by_cell], _matrix(rows.column("vector"))[by_cell]
+        cell, ids, off, x = cell[by_cell], np.asarray(rows.column("vec_id"))[by_cell], np.asarray(rows.column("off"))[by_cell], _matrix(rows.column("vector"))[by_cell]
         codes, out = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[by_cell], []
         for query_id, q, cells in zip(queries.column("query_id").to_pylist(), _matrix(queries.column("query")), queries.column("cells").to_pylist(), strict=True):
             cells = np.sort(np.array(cells))
             low, high = np.searchsorted(cell, cells), np.searchsorted(cell, cells, "right")
             at = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
-            rough = _rough(model, q.astype(np.float32), cells, codes[at], np.concatenate([[0], np.cumsum(high - low)]), width)
+            own = model.scaled(q)
+            rough = np.sqrt(np.maximum(_rough(model, own, cells, codes[at], np.concatenate([[0], np.cumsum(high - low)]), width), 0))
             other = ids[at] != query_id
             at, rough = at[other], rough[other]
-            best = at[rough <= np.partition(rough, rerank - 1)[rerank - 1]] if len(at) > rerank else at
+            # What rounding may take from the rough distances.
+            slack = 1e-7 * (1 + np.sqrt((own * own).sum()))
+            few = len(at) <= max(k, rerank)
+            best = at if few else at[(rough <= np.partition(rough, rerank - 1)[rerank - 1]) | ~(rough - off[at] > np.partition(rough + off[at], k - 1)[k - 1] + slack)]
             exact = np.sqrt(((x[best] - q) ** 2).sum(1))
             order = np.lexsort((ids[best], exact))[:k]
             out.append((np.full(len(order), query_id), ids[best][order], exact[order]))
@@ -277,7 +296,7 @@ def _search_length(base: DataFrame, asked: DataFrame, n: int, k: int, settings:
         v = rows.join(of_cell, "cell").join(F.broadcast(deal), "shard").withColumn("vb", F.expr("pmod(xxhash64(vec_id), nv)")).withColumn("qb", F.explode(F.expr("sequence(0L, nq - 1L)")))
         q = probed.join(F.broadcast(deal), "shard").withColumn("qb", F.expr("pmod(xxhash64(query_id), nq)")).withColumn("vb", F.explode(F.expr("sequence(0L, nv - 1L)")))
         key = ["shard", "vb", "qb"]
-        both = q.select(*key, "query_id", "query", "cells").groupBy(*key).cogroup(v.select(*key, "vec_id", "cell", "code", "vector").groupBy(*key))
+        both = q.select(*key, "query_id", "query", "cells").groupBy(*key).cogroup(v.select(*key, "vec_id", "cell", "code", "off", "vector").groupBy(*key))
         hits = both.applyInArrow(_search(held, settings.width, k, settings.rerank), "query_id long, vec_id long, score double")
         ranked = hits.withColumn("rank", F.expr("row_number() over (partition by query_id order by score, vec_id)"))
         return keep(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

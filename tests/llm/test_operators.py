@@ -183,6 +183,22 @@ def test_neighbours_among_many_copies(spark):
     assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(i + 1, i, 0.0) for i in range(10)]
 
 
+@pytest.mark.parametrize("make", [lambda x, r: x * 1e22, lambda x, r: x * np.exp(3 * r.normal(size=(len(x), 1))), lambda x, r: np.concatenate([x, x[:5] * 1e25])], ids=["huge", "uneven", "outliers"])
+def test_nearest_neighbours_of_large_and_uneven_vectors(spark, make):
+    rng = np.random.default_rng(4)
+    x = make(rng.normal(size=(4000, 32)), rng)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 100 = 0"), 10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 100):
+        score = ((x - x[q]) ** 2).sum(1)
+        score[q] = np.inf
+        hits += len(got[q] & set(np.argsort(score, kind="stable")[:10].tolist()))
+    assert hits >= 0.95 * 10 * len(range(0, len(x), 100))
+
+
 def test_packing_loses_nothing_and_keeps_apart(docs):
     settings = packing.Settings(capacity=100, shard=8)
     got = packing.pack(docs, settings).collect()
