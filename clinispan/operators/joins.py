@@ -19,6 +19,11 @@ def counted_bytes(table: DataFrame) -> int:
     return table.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long")), F.lit(0))).first()[0]
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """rows, to be joined by shuffle. Spark takes rows that generators make out of few others for as few and would broadcast them through the driver."""
+    return rows.hint("merge")
+
+
 def lookup_join(many: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_BYTES, hot: int = HOT_ROWS) -> DataFrame:
     """many joined with table (inner, left, left_semi or left_anti) on equal columns of the names on.
 
@@ -65,7 +70,7 @@ def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], spans: S
     # Of the bins that both are in, the first.
     first = F.floor(F.greatest(F.col(f"l.{a}"), F.col(f"r.{c}")) / width) == F.col("l.__bin")
     on = same & meet & first
-    pairs = x.join(y, on if condition is None else on & condition)
+    pairs = x.join(shuffled(y), on if condition is None else on & condition)
     return pairs.select(*(F.col(f"l.{n}") for n in left.columns), *(F.col(f"r.{n}") for n in right.columns if n not in by))
 
 
@@ -75,7 +80,7 @@ def place_in(points: DataFrame, spans: DataFrame, by: Sequence[str], at: str, va
     binned = _binned(spans.select(*by, F.col(start).alias("__start"), F.col(end).alias("__end"), *values), "__start", "__end", width, "__bin")
     x, y = points.withColumn("__bin", F.floor(F.col(at) / width)).alias("p"), binned.alias("s")
     same = reduce(lambda p, q: p & q, (F.col(f"p.{k}") == F.col(f"s.{k}") for k in (*by, "__bin")))
-    found = x.join(y, same & (F.col("s.__start") <= F.col(f"p.{at}")) & (F.col(f"p.{at}") < F.col("s.__end")), "left")
+    found = x.join(shuffled(y), same & (F.col("s.__start") <= F.col(f"p.{at}")) & (F.col(f"p.{at}") < F.col("s.__end")), "left")
     return found.select(*(F.col(f"p.{n}") for n in points.columns), *(F.col(f"s.{v}") for v in values))
 
 

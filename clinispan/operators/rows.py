@@ -41,7 +41,7 @@ def scopes(texts: DataFrame, triggers: DataFrame, by: tuple[str, ...] = ("note_i
     masked = phrases.find_phrases(texts.withColumn("low", context.mask(F.col("low"))), triggers.where("source in ('masked', 'stop')"), _LETTER)
     plain = phrases.find_phrases(texts, triggers.where("source <> 'stop'"), _LETTER)
     consumed = masked.where("source = 'masked' and dir = 'fwd'").select(*by, F.col("s").alias("cs"), F.col("e").alias("ce"))
-    rest = plain.where("source = 'rest'").join(consumed, [*(plain[k] == consumed[k] for k in by), (F.col("s") < F.col("ce")) & (F.col("cs") < F.col("e"))], "left_anti")
+    rest = plain.where("source = 'rest'").join(joins.shuffled(consumed), [*(plain[k] == consumed[k] for k in by), (F.col("s") < F.col("ce")) & (F.col("cs") < F.col("e"))], "left_anti")
     named = (*by, "s", "e", "label", "dir", "breaks", "size")
     openers = masked.where("source = 'masked'").select(*named).union(rest.select(*named)).union(plain.where("source = 'raw'").select(*named)).withColumn("is", F.lit("opener"))
     stops = masked.where("source = 'stop'").select(*by, "s", "e", F.lit("a stop").alias("is"))
@@ -80,10 +80,10 @@ def entities(sentences: DataFrame, table: DataFrame, triggers: DataFrame, key: s
     texts = sentences.select(*by, F.lower("text").alias("low"))
     found = hits(texts, table, by)
     own = found.select(*by, "s", "e", "kind", "concept")
-    asked = texts.join(own.select(*by).distinct(), list(by), "left_semi")
+    asked = texts.join(joins.shuffled(own.select(*by).distinct()), list(by), "left_semi")
     covered = joins.interval_join(own, scopes(asked, triggers, by), by, ("s", "e", "start", "end"), (F.col("r.start") <= F.col("l.s")) & (F.col("l.e") <= F.col("r.end")), width=text.ATTRIBUTE_WINDOW)
     labels = covered.groupBy(*by, "s", "e", "kind").agg(F.collect_set("label").alias("labels"))
-    placed = own.join(labels, [*by, "s", "e", "kind"], "left").join(sentences.select(*by, F.col("text").alias("sentence"), F.col("start").alias("at")), list(by))
+    placed = own.join(joins.shuffled(labels), [*by, "s", "e", "kind"], "left").join(joins.shuffled(sentences.select(*by, F.col("text").alias("sentence"), F.col("start").alias("at"))), list(by))
     empty = F.array().cast("array<string>")
     axes, attributes = context.axes(F.coalesce("labels", empty)), F.when(F.col("kind") == "medication", text.medication_attributes(F.col("sentence"), F.col("e")))
     out = placed.select(*by, (F.col("at") + F.col("s")).alias("start"), (F.col("at") + F.col("e")).alias("end"), F.substring("sentence", F.col("s") + 1, F.col("e") - F.col("s")).alias("text"), "kind", "concept", axes.alias("x"), attributes.alias("m"))

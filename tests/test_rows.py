@@ -181,3 +181,11 @@ def test_running_sums(spark, n):
     values = list(range(n))
     (row,) = spark.createDataFrame([(values,)], "v array<int>").select(text.running_sums(F.col("v")).alias("s")).collect()
     assert row["s"] == [sum(values[:i]) for i in range(n)]
+
+
+def test_only_lexicons_are_broadcast(spark, sf):
+    """entity_axes_by_rows looks up in the lexicon once and in the triggers twice for masked and plain text; found rows meet by shuffle."""
+    for name in ("entity_axes_by_rows", "entity_sections_by_rows"):
+        shown = queries.queries()[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+        joined = [line for line in shown.splitlines() if "BroadcastHashJoin" in line]
+        assert joined and all("first#" in line for line in joined)
