@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes up to which a table that is looked things up in goes to every executor whole.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 #: Rows of a key from which they are dealt out, with a copy of the key's rows in the table for each share.
 HOT_ROWS = 100_000
 
@@ -40,7 +40,7 @@ def lookup_join(many: DataFrame, table: DataFrame, on: Sequence[str], how: str =
     spread = F.xxhash64(*many.columns)
     left = many.where(present).join(shares, on, "left").withColumn("__share", F.pmod(spread, F.coalesce("__shares", F.lit(1)))).drop("__shares")
     right = table.join(shares, on, "left").withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__shares", F.lit(1)).cast("long") - 1))).drop("__shares")
-    out = left.join(right, [*on, "__share"], how).drop("__share")
+    out = left.join(shuffled(right), [*on, "__share"], how).drop("__share")
     if how in ("inner", "left_semi"):
         return out
     return out.unionByName(many.where(~present), allowMissingColumns=True)

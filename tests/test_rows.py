@@ -189,3 +189,9 @@ def test_only_lexicons_are_broadcast(spark, sf):
         shown = queries.queries()[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
         joined = [line for line in shown.splitlines() if "BroadcastHashJoin" in line]
         assert joined and all("first#" in line for line in joined)
+
+
+def test_large_lexicons_are_not_broadcast(spark):
+    many, table_ = spark.range(10).selectExpr("id as k"), spark.range(10).selectExpr("id as k", "'x' as v")
+    shown = joins.lookup_join(many, table_, ["k"], "inner", limit=0)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in [line for line in shown.splitlines() if "Join" in line][0] and joins.lookup_join(many, table_, ["k"], "inner", limit=0).count() == 10
