@@ -195,3 +195,8 @@ def test_large_lexicons_are_not_broadcast(spark):
     many, table_ = spark.range(10).selectExpr("id as k"), spark.range(10).selectExpr("id as k", "'x' as v")
     shown = joins.lookup_join(many, table_, ["k"], "inner", limit=0)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in [line for line in shown.splitlines() if "Join" in line][0] and joins.lookup_join(many, table_, ["k"], "inner", limit=0).count() == 10
+
+
+def test_relatives_are_extracted_once(spark, sf):
+    shown = queries.fhir_family(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count(text.SENTENCE_END) <= 2
