@@ -200,3 +200,8 @@ def test_large_lexicons_are_not_broadcast(spark):
 def test_relatives_are_extracted_once(spark, sf):
     shown = queries.fhir_family(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert shown.count(text.SENTENCE_END) <= 2
+
+
+def test_bundles_are_not_joined(spark, sf):
+    for name in ("fhir_bundle_sizes", "fhir_bundle_entries"):
+        assert "Join" not in queries.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
