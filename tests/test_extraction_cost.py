@@ -1,10 +1,13 @@
 """What the extraction does once a note or a sentence, and no more often."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from clinispan import lexicon
-from clinispan.functions import context, text
+from clinispan.functions import context, sections, text
 from clinispan.operators import extract
+from clinispan.plans import queries
 
 
 def below(node):
@@ -44,3 +47,8 @@ def test_a_trigger_beside_a_hidden_phrase(spark):
     n = len(pseudo)
     assert ("absent", n + 6, n + 13) in got[0]
     assert [x[0] for x in got[2]] == ["absent"] * 3
+
+
+def test_section_summary_extracts_once(spark, sf):
+    plan = queries.section_summary(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(re.escape(sections.HEADER)) <= 3 and plan.count("regexp_extract_all") == 3
