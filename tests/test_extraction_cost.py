@@ -28,6 +28,15 @@ def test_sections_are_made_once_a_note(spark, tmp_path):
     assert searching and all(n.children().apply(0).getClass().getSimpleName() == "CreateArray" for n in searching)
 
 
+def test_a_held_value_is_made_once_and_handed_on(spark):
+    """let() is no transform, which copies what its body makes; a null is held like any value."""
+    df = spark.createDataFrame([("a",), (None,)], "x string")
+    held = df.select(text.let(F.rand(), lambda r: r - r).alias("same"), text.let(F.col("x"), lambda x: F.coalesce(x, F.lit("none"))).alias("x"))
+    assert sorted(tuple(r) for r in held.collect()) == [(0.0, "a"), (0.0, "none")]
+    expressions = held._jdf.queryExecution().optimizedPlan().expressions()
+    assert not any(n.getClass().getSimpleName() == "ArrayTransform" for i in range(expressions.size()) for n in below(expressions.apply(i)))
+
+
 def test_phrases_are_looked_for_where_their_first_word_is(spark):
     """A phrase in the middle of a word is not asked for; one that begins with no word always is; rows keep the order of the table."""
     table = text.index_of([("type 2", "a"), ("-x", "b"), ("ye", "c"), ("type", "d")], ("phrase", "concept"), text.TERM)
