@@ -61,3 +61,11 @@ def test_a_trigger_beside_a_hidden_phrase(spark):
 def test_section_summary_extracts_once(spark, sf):
     plan = queries.section_summary(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(re.escape(sections.HEADER)) <= 3 and plan.count("regexp_extract_all") == 3
+
+
+def test_gold_cases_are_extracted_and_shuffled_once(spark, sf):
+    """Of two tables each is made once, whatever becomes of its leftovers; cases of one row are one extraction, dealt out by case once for every window."""
+    for query, extractions, dealt in ((queries.gold_errors, 1, 1), (queries.gold_confusion_margins, 1, 1), (queries.gold_errors_by_tables, 2, None), (queries.gold_leakage, 2, None)):
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == extractions
+        assert dealt is None or len(re.findall(r"Exchange hashpartitioning\(case_id", plan)) == dealt
