@@ -29,37 +29,51 @@ def paragraph_digests(text: str) -> Column:
     return F.expr(f"array_distinct(transform(filter(flatten(transform(split({text}, '\\n+'), l -> split(l, '(?<=[.!?])[ ]+'))), p -> trim(p) <> ''), p -> xxhash64(trim(p))))")
 
 
-def _inside(d: str, cell: int, cells: int) -> str:
-    """Whether digest d falls into this cell: of each third of the cells, that which some bits of d name."""
-    bits, part = {CELLS: 3, LARGE: 5}[cells], cells // 3
-    return f"shiftrightunsigned({d}, {bits * (cell // part) + (8 if cells == CELLS else 30)}) & {part - 1}L = {cell % part}L"
+def _held(value: str, name: str, body: str) -> str:
+    """body, in which name is value, computed once: a fold over nothing, whose last step is body."""
+    return f"aggregate(cast(array() as array<int>), {value}, ({name}, i) -> {name}, {name} -> {body})"
 
 
-def _add(cell: str, digests: str, at: int, cells: int, sign: int) -> str:
-    """The cell with those of digests that fall into it added (or subtracted)."""
-    return f"aggregate(filter({digests}, d -> {_inside('d', at, cells)}), {cell}, (s, d) -> named_struct('n', s.n + {sign}, 'k', s.k ^ d, 'c', s.c ^ (xxhash64(d) & 4294967295L)))"
+def _signed(digests: str, sign: int, cells: int) -> str:
+    """Digests as struct<d, c, n, p0, p1, p2>: digest, check hash, 1 or -1, and the cell of each third that some bits of it name."""
+    bits, first, part = {CELLS: 3, LARGE: 5}[cells], 8 if cells == CELLS else 30, cells // 3
+    places = ", ".join(f"'p{i}', shiftrightunsigned(d, {bits * i + first}) & {part - 1}L" for i in range(3))
+    return f"transform({digests}, d -> named_struct('d', d, 'c', xxhash64(d) & 4294967295L, 'n', {sign}, {places}))"
+
+
+def _added(signed: str, cells: int, to: str | None = None) -> str:
+    """The cells (empty ones without to) with signed digests, which are computed once for all of them, added: each cell takes in one pass those that fall into it."""
+    part = cells // 3
+
+    def cell(j: int) -> str:
+        start = f"{to}[{j}]" if to else f"cast(named_struct('n', 0, 'k', 0L, 'c', 0L) as {_CELL})"
+        return f"aggregate(f, {start}, (s, e) -> if(e.p{j // part} = {j % part}L, named_struct('n', s.n + e.n, 'k', s.k ^ e.d, 'c', s.c ^ e.c), s))"
+
+    return _held(signed, "f", f"array({', '.join(map(cell, range(cells)))})")
 
 
 def sketch(digests: str, cells: int = CELLS) -> str:
     """SQL for the cells of an array of distinct digests."""
-    empty = f"cast(named_struct('n', 0, 'k', 0L, 'c', 0L) as {_CELL})"
-    return f"array({', '.join(_add(empty, digests, j, cells, 1) for j in range(cells))})"
+    return _added(_signed(digests, 1, cells), cells)
 
 
-def difference(x: str, y: str) -> str:
-    return f"zip_with({x}, {y}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
+def difference(x: str, y: str, cells: int = CELLS) -> str:
+    """SQL for the sketch of x less that of y: as cells add up, one pass over both."""
+    return _added(f"concat({_signed(x, 1, cells)}, {_signed(y, -1, cells)})", cells)
 
 
 def peeled(cells_sql: str, cells: int = CELLS) -> str:
     """SQL for struct<cells, more, fewer, open>: the cells that peeling leaves, how many digests it finds on the first side alone and on the second, and whether it could go on."""
 
-    def pure(sign: int) -> str:
-        return f"array_distinct(transform(filter(t.cells, q -> q.n = {sign} and q.c = (xxhash64(q.k) & 4294967295L)), q -> q.k))"
+    def alone(sign: int) -> str:
+        return f"array_distinct(transform(filter(u, q -> q.n = {sign}), q -> q.k))"
 
-    rest = ", ".join(_add(_add(f"z.cells[{j}]", "z.p", j, cells, -1), "z.m", j, cells, 1) for j in range(cells))
-    found = f"transform(array(named_struct('cells', t.cells, 'p', {pure(1)}, 'm', {pure(-1)})), z -> if(size(z.p) + size(z.m) = 0, named_struct('cells', z.cells, 'more', t.more, 'fewer', t.fewer, 'open', false), named_struct('cells', array({rest}), 'more', t.more + size(z.p), 'fewer', t.fewer + size(z.m), 'open', true)))"
+    pure = "filter(t.cells, q -> (q.n = 1 or q.n = -1) and q.c = (xxhash64(q.k) & 4294967295L))"
+    rest = _added(f"concat({_signed('z.p', -1, cells)}, {_signed('z.m', 1, cells)})", cells, "t.cells")
+    found = _held(f"named_struct('p', {alone(1)}, 'm', {alone(-1)})", "z", f"named_struct('cells', {rest}, 'more', t.more + size(z.p), 'fewer', t.fewer + size(z.m), 'open', true)")
+    step = _held(pure, "u", f"if(size(u) = 0, named_struct('cells', t.cells, 'more', t.more, 'fewer', t.fewer, 'open', false), {found})")
     start = f"named_struct('cells', cast({cells_sql} as array<{_CELL}>), 'more', 0L, 'fewer', 0L, 'open', true)"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (t, r) -> if(t.open, element_at({found}, 1), t))"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (t, r) -> if(t.open, {step}, t))"
 
 
 def _clean(state: str) -> str:
@@ -99,7 +113,7 @@ def sketch_likeness(pairs: DataFrame, key: list[str]) -> DataFrame:
 
 def _compared(pairs: DataFrame, key: list[str], *more: Column) -> DataFrame:
     """pairs (key, x, y) with ok, and more and fewer (digests of x and of y alone) where a sketch of CELLS cells peels; x and y only where not."""
-    state = pairs.withColumn("d", F.expr(peeled(difference(sketch("x"), sketch("y"))))).withColumn("ok", F.expr(_clean("d")))
+    state = pairs.withColumn("d", F.expr(peeled(difference("x", "y")))).withColumn("ok", F.expr(_clean("d")))
     return state.select(*key, *more, "ok", F.col("d.more").alias("more"), F.col("d.fewer").alias("fewer"), *(F.when(~F.col("ok"), F.col(c)).alias(c) for c in ("x", "y")))
 
 
@@ -109,8 +123,8 @@ def _dealt(hard: DataFrame, key: list[str], round_: int) -> DataFrame:
     sized = known.withColumn("parts", F.expr(f"cast(ceil((size(x) + size(y)) / {LOAD}.0) as int)"))
     dealt = sized.select(*key, "parts", F.explode(F.expr("concat(transform(x, d -> named_struct('d', d, 'side', 1)), transform(y, d -> named_struct('d', d, 'side', 2)))")).alias("e")).select(*key, F.expr("pmod(shiftrightunsigned(e.d, 17), parts)").alias("part"), "e.d", "e.side")
     parts = dealt.groupBy(*key, "part").agg(F.expr("collect_list(d) filter (where side = 1)").alias("x"), F.expr("collect_list(d) filter (where side = 2)").alias("y"))
-    parts = parts.withColumn("s", F.expr(peeled(difference(sketch("x"), sketch("y")))))
-    parts = parts.withColumn("l", F.expr(f"case when not {_clean('s')} then {peeled(difference(sketch('x', LARGE), sketch('y', LARGE)), LARGE)} end"))
+    parts = parts.withColumn("s", F.expr(peeled(difference("x", "y"))))
+    parts = parts.withColumn("l", F.expr(f"case when not {_clean('s')} then {peeled(difference('x', 'y', LARGE), LARGE)} end"))
     found = [F.expr(f"case when {_clean('s')} then s.{n} when {_clean('l')} then l.{n} end").alias(n) for n in ("more", "fewer")]
     ok = F.expr(f"{_clean('s')} or coalesce({_clean('l')}, false)")
     return parts.withColumn("ok", ok).select(*key, "ok", *found, *(F.when(~F.col("ok"), F.col(c)).alias(c) for c in ("x", "y")))
