@@ -224,6 +224,35 @@ def test_crowded_lines_against_brute_force(spark):
         assert left >= set(want.values()) and len(left - set(want.values())) <= 1
 
 
+def test_shingles_of_crowded_lines_are_moved_only_for_alike_ones(spark, monkeypatch):
+    """Of lines with one passage in common, which meet in crowded bands, those alike to another alone go on; tables go once they have been read."""
+    rng = random.Random(11)
+
+    def words(n):
+        return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(n)]
+
+    common = words(8)
+    lines = [" ".join(common + words(16)) for _ in range(120)]
+    near = [" ".join([*x.split()[:-1], "other"]) for x in lines[:10]]
+    placed, kept = [], line_dedup._Join.keep
+    at_once = []
+
+    def keep(self, df):
+        out = kept(self, df)
+        at_once.append(len(self.made))
+        if out.columns[:4] == ["l1", "low", "high", "side"]:
+            placed.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup._Join, "keep", keep)
+    rows = spark.createDataFrame([(x,) for x in lines + near], "line string").selectExpr("xxhash64(line) as l1", "line")
+    found = line_dedup.similar_lines(rows, LOW_LINES)
+    assert found.count() == 2 * len(near)
+    met, left, right = placed
+    assert met > 100 and left + right < met / 2
+    assert max(at_once) < 20
+
+
 def respaced_pairs(rng, n):
     """Pairs of Jaccard 0.75 or more whose numbers of words differ: short words put in, in one place or spread, and spaces put in or taken out, in lines of words of 1 to 40 letters."""
     letters, out = "abcdefghijklmnopqrstuvwxyz", []
