@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from clinispan.llm import line_dedup, ngram_join, substring_dedup
 from clinispan.llm.components import connected_components
@@ -304,3 +305,40 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, x) for x in range(8, 60)] + [(3, 3), (None, 4), (140, 100)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 141)}, **{i: 7 for i in range(7, 60)}}
+
+
+def _words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+def test_bands_are_counted_in_slices(spark, monkeypatch):
+    """What is shuffled to find the bands that several lines have is a slice of all bands at a time, and each band is in one slice."""
+    rng = random.Random(12)
+    lines = [_words(rng, 30) for _ in range(40)]
+    lines += [line[:-3] + "end" for line in lines[:20]]
+    rows = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "l1 long, line string")
+    seen, tables = [], line_dedup.tables
+
+    def sliced(parts):
+        parts = list(parts)
+        seen.append([{r["band"] for r in part.select("band").distinct().collect()} for part in parts])
+        return tables(parts)
+
+    monkeypatch.setattr(line_dedup, "tables", sliced)
+    found = {r["l1"]: r["component"] for r in line_dedup.similar_lines(rows, line_dedup.Settings(slice=64)).collect()}
+    assert found == {i: i % 40 for i in (*range(20), *range(40, 60))}
+    (slices,) = seen
+    assert len(slices) == line_dedup.Settings().slices and all(slices) and len(set().union(*slices)) == sum(map(len, slices))
+    assert line_dedup.similar_lines(rows.limit(0)).collect() == []
+
+
+def test_long_lines_are_told_by_their_beginning(spark):
+    """Whether a line has more shingles than one of middle length is mostly seen from its beginning; what begins with few is looked at whole."""
+    rng, most = random.Random(13), 85
+    texts = ["ab" * 300, "ab" * 100 + _words(rng, 60), _words(rng, 60), _words(rng, 16), _words(rng, 3), "x" * 170, "x" * 171, "élève " * 40 + _words(rng, 8), ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, line string")
+    got = df.select("i", line_dedup._enough_shingles(F.col("line"), line_dedup.Settings()).alias("some"), F.array_distinct(line_dedup._shingles(F.col("line"), 5)).alias("every")).collect()
+    for r in got:
+        some, every = set(r["some"]), set(r["every"])
+        assert some <= every and (some == every or len(some) > most) and len(some) <= max(170, len(every))
+    assert any(len(r["some"]) < len(r["every"]) for r in got)
