@@ -14,9 +14,14 @@ BROADCAST_BYTES = 8 << 20
 HOT_ROWS = 100_000
 
 
+def row_bytes(table: DataFrame) -> Column:
+    """The bytes of all values of a table, as an aggregate of it."""
+    return F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*table.columns))).cast("long")), F.lit(0))
+
+
 def counted_bytes(table: DataFrame) -> int:
     """The bytes of all values of a table, counted by one pass over it."""
-    return table.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long")), F.lit(0))).first()[0]
+    return table.agg(row_bytes(table)).first()[0]
 
 
 def shuffled(rows: DataFrame) -> DataFrame:
@@ -24,15 +29,18 @@ def shuffled(rows: DataFrame) -> DataFrame:
     return rows.hint("merge")
 
 
-def lookup_join(many: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_BYTES, hot: int = HOT_ROWS) -> DataFrame:
+def lookup_join(many: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_BYTES, hot: int | None = HOT_ROWS, size: int | None = None) -> DataFrame:
     """many joined with table (inner, left, left_semi or left_anti) on equal columns of the names on.
 
-    A table of up to limit bytes, counted now, is broadcast. Beyond that both are shuffled; rows of a key that more than hot rows of many
-    have are dealt out in shares, and so are rows without a key, which match nothing. Keys are counted by one more pass over many.
+    A table of up to limit bytes (size, or counted now) is broadcast. Beyond that both are shuffled; rows of a key that more than hot rows of many
+    have are dealt out in shares, and so are rows without a key, which match nothing. Keys are counted by more passes over many;
+    without hot none are dealt out, for a many that is dear to make and a table with few rows of a key: a frequent key then makes a task longer, no larger.
     """
     on = list(on)
-    if counted_bytes(table) <= limit:
+    if (counted_bytes(table) if size is None else size) <= limit:
         return many.join(F.broadcast(table), on, how)
+    if hot is None:
+        return many.join(shuffled(table), on, how)
     keys = many.groupBy(*on).agg(F.ceil(F.count("*") / hot).cast("int").alias("__shares")).where("__shares > 1")
     present = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in on))
     # Hot keys are at most the rows of many divided by hot; AQE broadcasts them if they are few.

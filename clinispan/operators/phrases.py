@@ -1,8 +1,8 @@
-"""Phrases of a table found in texts by an inverted index: joined on their first words, verified in place, reduced to the longest.
+"""Phrases of a table found in texts by an inverted index: looked up by their first words, joined whole, reduced to the longest.
 
-A lexicon is a table (kind, phrase, concept, ord), of any size. Texts are lower-cased rows (keys ..., low), of the size of sentences. A phrase is joined on
-its first two tokens (or its only one), so that a word which begins many phrases does not meet all of them; the index is broadcast if its counted bytes
-allow, else shuffled with the frequent tokens dealt out. Nothing of the lexicon is in the plan.
+A lexicon is a table (kind, phrase, concept, ord), of any size. Texts are lower-cased rows (keys ..., low), of the size of sentences. Tokens that begin no phrase
+go first; from the others on, as many tokens as any phrase with that beginning has are joined with the phrases by equality, so that beginnings which many
+phrases share do not meet all of them. The index is broadcast if its counted bytes allow, else shuffled. Nothing of the lexicon is in the plan.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clinispan import lexicon
 from clinispan.functions.text import let, running_sums
-from clinispan.operators.joins import BROADCAST_BYTES, lookup_join
+from clinispan.operators.joins import BROADCAST_BYTES, lookup_join, row_bytes
 
 LEXICON = "kind string, phrase string, concept string, ord long"
 #: The characters of words in dictionary phrases.
@@ -43,36 +43,35 @@ def tokens(low: Column, word: str = WORD) -> Column:
 
 
 def phrase_index(table: DataFrame, word: str = WORD) -> DataFrame:
-    """table with first and second: the tokens that a phrase begins with, second '' for a phrase of one. Null phrases and those that begin or end with white space are in no index."""
+    """table with first: the token that a phrase begins with, and count: how many it has. Null phrases and those that begin or end with white space are in no index."""
     t = F.regexp_extract_all("phrase", F.lit(_pattern(word)), F.lit(1))
-    return table.where(r"phrase rlike '^\\S(.*\\S)?$'").withColumn("__t", t).withColumns({"first": F.get("__t", F.lit(0)), "second": F.coalesce(F.get("__t", F.lit(1)), F.lit(""))}).drop("__t")
+    return table.where(r"phrase rlike '^\\S(.*\\S)?$'").withColumn("__t", t).withColumns({"first": F.get("__t", F.lit(0)), "count": F.size("__t")}).drop("__t")
 
 
 def find_phrases(texts: DataFrame, table: DataFrame, word: str = WORD, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(texts' columns but low, s, e, and table's columns): each place of each phrase of table in low that no character of the class word touches on either side."""
     index = phrase_index(table, word)
-    longest = index.agg(F.coalesce(F.max(F.length("phrase")), F.lit(0))).first()[0]
+    longest, size = index.agg(F.coalesce(F.max(F.length("phrase")), F.lit(0)), row_bytes(index)).first()
     keys = [c for c in texts.columns if c != "low"]
-
-    def starts(t: Column, i: Column, all_: Column) -> Column:
-        start = t["start"]
-        ahead = F.substring("low", start + 1, F.lit(longest + 1))
-        touched = (start > 0) & F.substring("low", start, F.lit(1)).rlike(f"[{word}]")
-
-        def key(second: Column) -> Column:
-            return F.struct(t["token"].alias("first"), second.alias("second"), start.alias("s"), ahead.alias("ahead"), touched.alias("touched"))
-
-        next_ = F.get(all_, i + 1)["token"]
-        return F.when(next_.isNull(), F.array(key(F.lit("")))).otherwise(F.array(key(F.lit("")), key(next_)))
-
-    placed = let(tokens(F.col("low"), word), lambda all_: F.flatten(F.transform(all_, lambda t, i: starts(t, i, all_))))
-    each = texts.select(*keys, F.inline_outer(placed)).where("first is not null")
-    met = lookup_join(each, index, ["first", "second"], "inner", limit)
-    size = F.length("phrase")
-    begins, ends = F.col("phrase").rlike(f"^[{word}]"), F.substring("ahead", size + 1, F.lit(1)).rlike(f"^[{word}]")
+    start = F.col("__at.start")
+    ahead = F.substring("low", start + 1, F.lit(longest + 1))
+    touched = (start > 0) & F.substring("low", start, F.lit(1)).rlike(f"[{word}]")
+    at = texts.select(*keys, "low", F.explode_outer(tokens(F.col("low"), word)).alias("__at")).where("__at is not null")
+    each = at.select(*keys, start.alias("s"), F.col("__at.token").alias("first"), ahead.alias("ahead"), touched.alias("touched"))
+    counts = lookup_join(each, index.groupBy("first").agg(F.collect_set("count").alias("counts")), ["first"], "inner", limit, hot=None)
+
+    def runs(t: Column, n: Column) -> Column:
+        last = F.get(t, n - 1)
+        return F.substring("ahead", F.lit(1), last["start"] + F.length(last["token"]))
+
+    # A phrase stands where so many tokens as it has are, with what is between them, the phrase.
+    held = let(tokens(F.col("ahead"), word), lambda t: F.transform(F.filter("counts", lambda n: n <= F.size(t)), lambda n: runs(t, n)))
+    candidates = counts.select(*keys, "s", "first", "ahead", "touched", F.explode_outer(held).alias("phrase")).where("phrase is not null")
+    met = lookup_join(candidates, index.drop("count"), ["first", "phrase"], "inner", limit, hot=None, size=size)
+    length = F.length("phrase")
+    begins, ends = F.col("phrase").rlike(f"^[{word}]"), F.substring("ahead", length + 1, F.lit(1)).rlike(f"^[{word}]")
     # A phrase whose last character is none of the class may still not be touched by one.
-    right = met.where(F.startswith("ahead", "phrase") & ~ends & (begins | ~F.col("touched")))
-    return right.withColumn("e", F.col("s") + size).select(*keys, "s", "e", *table.columns)
+    return met.where(~ends & (begins | ~F.col("touched"))).withColumn("e", F.col("s") + length).select(*keys, "s", "e", *table.columns)
 
 
 def longest_matches(hits: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -205,3 +205,15 @@ def test_relatives_are_extracted_once(spark, sf):
 def test_bundles_are_not_joined(spark, sf):
     for name in ("fhir_bundle_sizes", "fhir_bundle_entries"):
         assert "Join" not in queries.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_phrases_with_one_beginning_are_joined_whole(spark):
+    """Of very many phrases that begin alike a place meets those that stand there, and the texts are cut into tokens once."""
+    texts = spark.range(300).select("id", F.concat(F.lit("no heart failure "), F.col("id") * 7, F.lit(" , heart failure today; x"), "id").alias("low"))
+    lexicon_ = spark.range(2000).select(F.lit("k").alias("kind"), F.concat(F.lit("heart failure "), "id").alias("phrase"), F.col("id").cast("string").alias("concept"), F.col("id").alias("ord")).union(table(spark, [("heart failure", "h"), (", heart failure today", "t")]))
+    for limit in (0, joins.BROADCAST_BYTES):
+        found = phrases.find_phrases(texts, lexicon_, limit=limit)
+        shown = found._jdf.queryExecution().sparkPlan().toString()
+        assert any("phrase#" in line for line in shown.splitlines() if "Join" in line) and shown.count("low#") and shown.count("Generate") <= 2
+        got = Counter(r["concept"] for r in found.collect())
+        assert got == Counter({"h": 600, "t": 300} | {str(i * 7): 1 for i in range(286)})
